@@ -105,8 +105,15 @@ class Hasher:
 
 
 _hashers: dict[int, Hasher] = {}
-_is_space = np.zeros(256, dtype=bool)
-_is_space[[0x20, *range(0x09, 0x0E)]] = True
+
+#: Kinds of bytes; a token is a longest run of one kind other than 0.
+WORDS = np.ones(256, dtype=np.uint8)
+WORDS[[0x20, *range(0x09, 0x0E)]] = 0
+LETTERS, DIGITS, SIGNS = 1, 2, 3
+TOKENS = np.full(256, SIGNS, dtype=np.uint8)
+TOKENS[WORDS == 0] = 0
+TOKENS[0x30:0x3A] = DIGITS
+TOKENS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTERS
 
 
 def hasher(seed: int) -> Hasher:
@@ -116,25 +123,21 @@ def hasher(seed: int) -> Hasher:
 
 
 class Chunk:
-    """Some rows of a batch with their texts' UTF-8 bytes and words.
+    """Some rows of a batch with their texts' UTF-8 bytes and tokens (words, unless `kinds` says otherwise).
 
     rows lo..hi of the batch; data: their bytes; ends: n+1 byte offsets of the texts;
-    start, stop: byte offsets of each word; first: n+1 word offsets of the texts.
+    start, stop: byte offsets of each token; first: n+1 token offsets of the texts.
     """
 
-    def __init__(self, lo: int, hi: int, data: np.ndarray, ends: np.ndarray):
+    def __init__(self, lo: int, hi: int, data: np.ndarray, ends: np.ndarray, kinds: np.ndarray = WORDS):
         self.lo, self.hi, self.data, self.ends = lo, hi, data, ends
-        inside = ~_is_space[data]
-        new = inside.copy()
-        new[1:] &= ~inside[:-1]
-        at = ends[:-1][np.diff(ends) > 0]
-        new[at] = inside[at]
-        self.start = np.flatnonzero(new)
-        gone = inside.copy()
-        gone[:-1] &= ~inside[1:]
-        last = ends[1:][np.diff(ends) > 0] - 1
-        gone[last] = inside[last]
-        self.stop = np.flatnonzero(gone) + 1
+        kind = kinds[data]
+        inside = kind > 0
+        change = np.ones(len(data) + 1, dtype=bool)
+        change[1:-1] = kind[1:] != kind[:-1]
+        change[ends] = True
+        self.start = np.flatnonzero(change[:-1] & inside)
+        self.stop = np.flatnonzero(change[1:] & inside) + 1
         self.first = np.searchsorted(self.start, ends)
         self.inside = inside
 
@@ -142,18 +145,23 @@ class Chunk:
     def n_words(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word."""
+    def hashes(self, seed: int = 0, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each token, of its ASCII lower-case form if `lower`."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
         h = hasher(seed)
         longest = int((self.stop - self.start).max())
+        # place of each byte in its token
         gaps = np.ones(len(self.data), dtype=np.int32)
         gaps[self.start[1:]] = 1 - np.diff(self.start)
         gaps[: self.start[0] + 1] = 0
         place = np.cumsum(gaps, dtype=np.int32)
         place[~self.inside] = 0
-        terms = h.values[self.data] * h.power(longest)[place]
+        data = self.data
+        if lower:
+            data = data.copy()
+            data[(data >= 65) & (data <= 90)] += 32
+        terms = h.values[data] * h.power(longest)[place]
         terms[~self.inside] = 0
         return mix(np.add.reduceat(terms, self.start) + (self.stop - self.start).astype(np.uint64))
 
@@ -161,7 +169,7 @@ class Chunk:
         return self.data[self.start[i] : self.stop[i]].tobytes()
 
 
-def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES, kinds: np.ndarray = WORDS) -> Iterator[Chunk]:
     """The texts of an Arrow array (null: empty) in chunks of about `size` bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -177,7 +185,7 @@ def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
-        yield Chunk(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield Chunk(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], kinds)
         lo = hi
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunk, Scratch, chunks, hasher, ship
+from .common import Chunk, Scratch, chunks, ship
 
 CAPACITY = 2048
 END_ID = 1
@@ -82,19 +82,12 @@ class WordEncoder:
 
     def chunk_ids(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the chunk in turn (without end ids), and n+1 offsets."""
-        low = chunk.data.copy()
-        upper = (low >= 65) & (low <= 90)
-        low[upper] += 32
-        view = Chunk.__new__(Chunk)
-        view.__dict__.update(chunk.__dict__)
-        view.data = low
-        hashes = view.hashes(0)
-        unique, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        unique, sample, inverse = np.unique(chunk.hashes(0, lower=True), return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, unique)
         place[place == len(self.known)] = 0
         hit = self.known[place] == unique if len(self.known) else np.zeros(len(unique), dtype=bool)
         fresh = np.flatnonzero(~hit)
-        ids, counts = self.encode_words([view.word(i) for i in sample[fresh]])
+        ids, counts = self.encode_words([chunk.word(i) for i in sample[fresh]])
         begin, length = np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=np.int64)
         begin[hit], length[hit] = self.at[place[hit]], self.at[place[hit] + 1] - self.at[place[hit]]
         begin[fresh], length[fresh] = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(fresh) else 0, counts
@@ -116,7 +109,6 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
-        hasher(0)
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
