@@ -17,18 +17,20 @@ before the window's end is the same in all copies of the window. So every window
 least 2 * MARGIN + LENGTH words has an anchor: of the symbols that begin there the one
 with the smallest hash.
 
-1. Equal documents have equal names as wholes. Copies of a document of at least `width`
-   words repeat in all their windows, so they are settled at once, and only one of them
-   takes part in what follows.
-2. Anchors of all windows are counted over all documents; a name that occurs once cannot
-   be the anchor of a repeated window.
-3. Documents with shared anchors are read again. Their windows over shared anchors are
-   verified: 128-bit hashes of the window's words are counted over all documents.
-4. Positions of repeated windows go back to their documents, which drop the words.
-
-A window's words are never sent; a document's positions are bounded by its own length.
-Null and empty texts have no words and no windows. Repeated rows are copies of each other,
-also when their ids are equal. An empty table gives an empty result.
+1. Each anchor's place serves a few consecutive windows (at most width - 2 * MARGIN), which
+   all hold the MARGIN words to both sides of it: the symbol and these words are the
+   place's name. One row per place goes to its name, with a 64-bit hash of the whole span of
+   words that its windows cover, the document, and where the windows begin. Places with equal names
+   and spans repeat in all their windows, which settles long repeats a place at a time.
+2. A name with a single span can't hide further repeats. For other names the windows of
+   single places, and of one place for each repeated span, are verified one by one: 128-bit
+   hashes of their words are counted over all documents.
+3. Repeated windows go back to their documents, which drop the words they cover.
+
+A window's words are never sent; a document's marks are bounded by its own length.
+Documents are known by id and 32 bits of a hash of the text, so ids may repeat. Null and
+empty texts have no words and no windows. Repeated rows are copies of each other, also
+when their ids are equal. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Chunk, Scratch, as_long, chunks, lists, mix, sequence_hash, ship
+from .common import Chunk, Scratch, as_long, chunks, lists, mix, ship, text_of
 
 WIDTH = 35
 LENGTH = 8
@@ -119,29 +121,38 @@ def window_anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     return starts, np.column_stack([place[starts + MARGIN].astype(np.int64), full[place[starts + MARGIN]].view(np.int64)]) if len(starts) else np.zeros((0, 2), dtype=np.int64)
 
 
-def anchor_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Per document: id, number of words, name of the whole, digest of all words, anchors (one for each place)."""
+def span_hashes(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of the words low..high-1."""
+    n = len(words)
+    # a polynomial in an odd factor: dividing by its power moves a span to the origin
+    factor = int(_PAIR) | 1
+    inverse = pow(factor, -1, 1 << 64)
+    steps = np.ones((2, n + 1), dtype=np.uint64)
+    steps[:, 1:] = np.array([[factor], [inverse]], dtype=np.uint64)
+    power, back = np.cumprod(steps, axis=1, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(words) * power[:-1], dtype=np.uint64)])
+    return mix((sums[high] - sums[low]) * back[low] + mix((high - low).astype(np.uint64)))
+
+
+def place_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Per document: id, hash of the text, and of each anchor's place the name, the span's hash and start * 32 + number of windows."""
     for batch in batches:
         for c in chunks(batch.column("text")):
             h = c.hashes()
             starts, anchors = window_anchors(h, c.first, width)
             docs = c.hi - c.lo
-            # windows over the same place have one anchor
-            new = np.ones(len(anchors), dtype=bool)
-            new[1:] = anchors[1:, 0] != anchors[:-1, 0]
-            owner = np.searchsorted(c.first, starts[new], side="right") - 1
-            # anchors move on from window to window, so a place comes only once
-            root = np.stack([sequence_hash(h, c.first, 1), sequence_hash(h, c.first, 2)], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(c.lo, docs),
-                    pa.array(c.n_words, pa.int64()),
-                    pa.array([x.tobytes() for x in root], pa.binary()),
-                    pa.array([kept_sha(c, i, None) for i in range(docs)], pa.string()),
-                    lists(anchors[new, 1], np.bincount(owner, minlength=docs), pa.int64()),
-                ],
-                ["doc_id", "n_words", "root", "all_sha256", "anchors"],
-            )
+            # windows over the same place follow each other, and their anchors move on, so a place comes once
+            at = np.flatnonzero(np.concatenate([[True], anchors[1:, 0] != anchors[:-1, 0]])) if len(starts) else np.zeros(0, dtype=np.int64)
+            windows = np.diff(np.append(at, len(starts)))
+            low = starts[at]
+            # all windows of a place hold the words within the margin around its symbol: they name it, too
+            around = anchors[at, 0]
+            name = mix(anchors[at, 1].view(np.uint64) ^ span_hashes(h, around - MARGIN, around + MARGIN + 1))
+            span = mix(span_hashes(h, low, low + windows - 1 + width) ^ mix((around - low).astype(np.uint64)))
+            owner = np.searchsorted(c.first, low, side="right") - 1
+            counts = np.bincount(owner, minlength=docs)
+            rows = [lists(x, counts, pa.int64()) for x in (as_long(name), as_long(span), (low - c.first[:-1][owner]) * 32 + windows)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(c.lo, docs) for n in ("doc_id", "text_hash")), *rows], ["doc_id", "text_hash", "name", "span", "place"])
 
 
 def kept_sha(c: Chunk, i: int, gone: np.ndarray | None) -> str:
@@ -159,115 +170,102 @@ def kept_sha(c: Chunk, i: int, gone: np.ndarray | None) -> str:
 
 
 def window_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Windows over shared anchors: two hashes of the words, document, position in it."""
+    """The windows of the places in `checked`: two hashes of the words, document, position; `single` if the place's span occurs once."""
     for batch in batches:
         for c in chunks(batch.column("text")):
+            docs = c.hi - c.lo
+            own = batch.column("checked").slice(c.lo, docs)
+            packed = own.flatten().to_numpy(zero_copy_only=False)
+            # packed: place * 2 + single
+            owner = np.repeat(np.arange(docs), np.asarray(own.value_lengths().fill_null(0)))
+            place, single = packed >> 1, packed & 1
+            count = place & 31
+            begin = c.first[:-1][owner] + (place >> 5)
+            at = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             h = c.hashes()
-            starts, anchors = window_anchors(h, c.first, width)
-            owner = np.searchsorted(c.first, starts, side="right") - 1
-            shared = batch.column("shared").slice(c.lo, c.hi - c.lo)
-            values = shared.flatten().to_numpy(zero_copy_only=False)
-            counts = np.asarray(shared.value_lengths().fill_null(0))
-            # membership of (document, anchor) in the documents' lists
-            have = np.unique(mix(values.view(np.uint64) ^ mix(np.repeat(np.arange(len(counts)), counts).astype(np.uint64))))
-            want = mix(anchors[:, 1].copy().view(np.uint64) ^ mix(owner.astype(np.uint64)))
-            hit = np.flatnonzero(np.isin(want, have))
-            a = np.zeros(len(hit), dtype=np.uint64)
-            b = np.zeros(len(hit), dtype=np.uint64)
             h2 = mix(h + np.uint64(0xABCDEF))
+            a, b = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
             for j in range(width):
-                own = starts[hit] + j
-                a += h[own] * _factors(width, 1)[j]
-                b += h2[own] * _factors(width, 2)[j]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(as_long(mix(a))), pa.array(as_long(mix(b))), batch.column("doc_key").slice(c.lo, c.hi - c.lo).take(pa.array(owner[hit])), pa.array((starts - c.first[:-1][owner])[hit].astype(np.int32))],
-                ["h1", "h2", "doc_key", "at"],
-            )
+                a += h[at + j] * _factors(width, 1)[j]
+                b += h2[at + j] * _factors(width, 2)[j]
+            doc = np.repeat(owner, count)
+            take = pa.array(doc)
+            where = (at - c.first[:-1][doc]) * 2 + np.repeat(single, count)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(mix(a))), pa.array(as_long(mix(b))), *(batch.column(n).slice(c.lo, docs).take(take) for n in ("doc_id", "text_hash")), pa.array(where)], ["h1", "h2", "doc_id", "text_hash", "at"])
 
 
 def _factors(width: int, seed: int) -> np.ndarray:
     return mix(np.arange(width, dtype=np.uint64) + np.uint64(seed * 104729)) | np.uint64(1)
 
 
-def covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Which of n words lie in a window that begins at one of `starts`."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + width, n), -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def removal_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Per document with repeated windows: how many words go, the digest of the rest, and the rest."""
+def removal_batches(batches: Iterator[pa.RecordBatch], width: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    """Per document: id, words, how many go, the digest of the rest, and the rest if `texts`."""
     for batch in batches:
         for c in chunks(batch.column("text")):
             docs = c.hi - c.lo
-            starts = batch.column("starts").slice(c.lo, docs)
-            removed, shas, texts = [], [], []
+            settled, found = (batch.column(n).slice(c.lo, docs) for n in ("settled", "found"))
+            removed, shas, left = [], [], []
             for i in range(docs):
-                gone = covered(np.asarray(starts[i].values), int(c.n_words[i]), width)
+                n = int(c.n_words[i])
+                edge = np.zeros(n + 1, dtype=np.int64)
+                if settled[i].is_valid and len(settled[i]):
+                    place = np.asarray(settled[i].values)
+                    np.add.at(edge, place >> 5, 1)
+                    np.add.at(edge, (place >> 5) + (place & 31) - 1 + width, -1)
+                if found[i].is_valid and len(found[i]):
+                    start = np.asarray(found[i].values)
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + width, -1)
+                gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 shas.append(kept_sha(c, i, gone))
-                texts.append(b" ".join(c.word(j) for j in np.flatnonzero(~gone) + c.first[i]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_key").slice(c.lo, docs), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_key", "n_removed", "kept_sha256", "kept_text"])
-
-
-def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(documents with root, copies and digest; representatives with text and `starts`, the repeated windows' positions)."""
+                if texts:
+                    left.append(b" ".join(c.word(j) for j in np.flatnonzero(~gone) + c.first[i]).decode("utf-8", "replace"))
+            columns = [batch.column("doc_id").slice(c.lo, docs), pa.array(c.n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            if texts:
+                columns.append(pa.array(left, pa.string()))
+                names.append("kept_text")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, and with `texts` kept_text."""
+    if width < 2 * MARGIN + LENGTH or width - 2 * MARGIN > 31:
+        raise ValueError(f"windows must have {2 * MARGIN + LENGTH} to {2 * MARGIN + 31} words")
     spark = docs.sparkSession
-    if width < 2 * MARGIN + LENGTH:
-        raise ValueError(f"windows of less than {2 * MARGIN + LENGTH} words have no certain anchor")
     ship(spark)
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marked = scratch.keep(base.mapInArrow(lambda it: anchor_batches(it, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, root binary, all_sha256 string, anchors array<long>"), "anchors")
-    roots = scratch.keep(marked.groupBy("root").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep")), "roots")
-    whole = scratch.keep(marked.select("doc_id", "n_words", "root", "all_sha256").join(roots, "root"), "whole")
-    # one row per distinct text: the row itself is found by id and root
-    reps = marked.where(F.size("anchors") > 0).join(roots.select("root", "rep"), "root").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("root", "doc_id", "anchors").dropDuplicates(["root"])
-    reps = scratch.keep(reps, "reps")
-    shared = reps.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    held = reps.select("root", "doc_id", F.explode(F.array_distinct("anchors")).alias("anchor")).join(shared, "anchor")
-    # a document's list is bounded by its own words
-    held = held.groupBy("root", "doc_id").agg(F.collect_list("anchor").alias("shared"))
-    held = scratch.keep(held, "held")
-    with_text = base.join(held.withColumnRenamed("doc_id", "_id"), base["doc_id"].eqNullSafe(F.col("_id")))
-    # rows that repeat an id: only one row, with the text of this root, may take part
-    with_text = with_text.select(F.col("root").alias("doc_key"), "text", "shared")
-    often = whole.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if often:
-        with_text = with_text.mapInArrow(own_text, "doc_key binary, text string, shared array<long>").dropDuplicates(["doc_key"])
-    texts = scratch.keep(with_text, "texts")
-    windows = scratch.keep(texts.mapInArrow(lambda it: window_batches(it, width), "h1 long, h2 long, doc_key binary, at int"), "windows")
-    again = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    starts = windows.join(again, ["h1", "h2"]).groupBy("doc_key").agg(F.collect_list("at").alias("starts"))
-    return whole, texts.select("doc_key", "text").join(starts, "doc_key")
-
-
-def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the root it is listed under."""
-    for batch in batches:
-        keep = []
-        for c in chunks(batch.column("text")):
-            h = c.hashes()
-            root = np.stack([sequence_hash(h, c.first, 1), sequence_hash(h, c.first, 2)], axis=1)
-            keys = batch.column("doc_key").slice(c.lo, c.hi - c.lo).to_pylist()
-            keep += [x.tobytes() == k for x, k in zip(root, keys, strict=True)]
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    scratch = Scratch(docs.sparkSession, "substrings")
-    whole, found = repeated_windows(docs, scratch, width)
-    removed = scratch.keep(found.mapInArrow(lambda it: removal_batches(it, width), "doc_key binary, n_removed long, kept_sha256 string, kept_text string").drop("kept_text"), "removed")
-    gone = (F.col("copies") > 1) & (F.col("n_words") >= width)
-    out = whole.join(removed.withColumnRenamed("doc_key", "root"), "root", "left")
-    return out.select(
-        "doc_id",
-        "n_words",
-        F.when(gone, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
+    scratch = Scratch(spark, "substrings")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.shiftright(F.xxhash64("text"), 32).cast("int"))
+    arrays = base.mapInArrow(lambda it: place_batches(it, width), f"doc_id {kind}, text_hash int, name array<long>, span array<long>, place array<long>")
+    places = arrays.select("doc_id", "text_hash", F.explode(F.arrays_zip("name", "span", "place")).alias("x")).select("x.name", "x.span", "doc_id", "text_hash", "x.place")
+    by_span = Window.partitionBy("name", "span")
+    rows = places.repartition("name").sortWithinPartitions("name", "span", "doc_id", "place")
+    rows = rows.select(
+        "doc_id", "text_hash", "place",
+        F.count(F.lit(1)).over(by_span).alias("equal"), F.row_number().over(by_span.orderBy("doc_id", "place")).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("name")).alias("named"),
+    )
+    several = F.col("named") > F.col("equal")
+    marked = rows.where((F.col("equal") > 1) | several).groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.when(F.col("equal") > 1, F.col("place"))).alias("settled"),
+        F.collect_list(F.when(several & (F.col("nth") == 1), F.col("place") * 2 + (F.col("equal") == 1).cast("long"))).alias("checked"),
     )
+    # a document's lists are bounded by its own words
+    marked = scratch.keep(marked, "marked")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["_id"]) & (a["text_hash"] == b["_hash"])
+    ids = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    checked = marked.where(F.size("checked") > 0).select(*ids, "checked")
+    keyed = base.repartition("doc_id", "text_hash")  # read by both joins
+    windows = keyed.join(checked, same(keyed, checked)).select("doc_id", "text_hash", "text", "checked")
+    # of rows that repeat id and text one is enough; their places are settled as copies of each other
+    windows = windows.mapInArrow(lambda it: window_batches(it, width), f"h1 long, h2 long, doc_id {kind}, text_hash int, at long")
+    again = windows.select("doc_id", "text_hash", "at", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2")).alias("n"))
+    found = again.where("n > 1 and at % 2 = 1").groupBy(*ids).agg(F.collect_list(F.expr("at div 2")).alias("found"))
+    settled = marked.select(*ids, "settled").withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"})
+    both = keyed.join(settled, keyed["doc_id"].eqNullSafe(F.col("_id2")) & (keyed["text_hash"] == F.col("_hash2")), "left").join(found, same(keyed, found), "left")
+    out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
+    return both.select("doc_id", "text", "settled", "found").mapInArrow(lambda it: removal_batches(it, width, texts), out)
 
 
 ORACLE_SQL = r"""
