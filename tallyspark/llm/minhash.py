@@ -4,21 +4,26 @@ Likeness of two documents is the weighted Jaccard similarity of their multisets
 shingles (texts of fewer than five words have one shingle of all their words); documents
 whose likeness is at least `least` are linked, and a group is a connected component.
 
-1. Equal word sequences are one node: only the representative, the smallest id, goes on.
-2. Signatures (BagMinHash): a shingle that occurs w times owns the weights [0, w). Weights
+1. Signatures (BagMinHash): a shingle that occurs w times owns the weights [0, w). Weights
    are cut into the shells [0,1), [1,2), [2,4), [4,8), ...; each shell has a Poisson
    process of points in time, with a rate of its width, and each point has a weight in the
    shell and one of SIZE components, all drawn from hashes of shingle, shell and number. A
    component keeps its earliest point whose weight is below w. Two components are equal
    with a probability of exactly the weighted Jaccard similarity. A process stops at the
    first point later than all components of its document.
-3. Bands of ROWS components are keys. Every member of a key is paired with the key's
-   smallest member; pairs are verified on the texts' multisets and linked; components.
-4. Keys whose members are still in different components are searched in full: members are
-   dealt into blocks of about BLOCK, every pair of blocks compares its signatures as
-   arrays, pairs of different components that agree in at least NEAR components (4 standard
-   deviations below 0.8) are verified, too. So no link that shares a key is lost to the
-   choice of representatives, and no key is ever gathered in one task.
+2. Bands of ROWS components are keys; documents that share a key are candidates.
+   Signatures that agree in at least NEAR components (4 standard deviations below 0.8) are
+   near. Every member of a key is compared with the key's smallest member, and near ones
+   form clusters. Keys whose members are in several clusters are then searched in full:
+   members are dealt into blocks of about BLOCK, every pair of blocks compares its
+   signatures as arrays and gives a spanning forest of the near pairs between clusters.
+   Every link between documents that share a key is now within a cluster.
+3. Clusters are verified on texts: one text of each word sequence is dealt into blocks in
+   the same way, and a pair of blocks computes all overlaps of its multisets as one matrix
+   product and gives a spanning forest of the true links. Groups are the components.
+
+So no link is lost to a choice of representatives, no list of all pairs is ever made, and
+no key or cluster is gathered in one task. What grows with the data is never broadcast.
 
 Components and links stay in Spark tables. Texts without words form one group. Repeated
 rows are members of their group; rows with one id and different texts join their groups.
@@ -152,90 +157,149 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> I
             )
 
 
-def multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
-    c = next(chunks(pa.array([text or ""], pa.large_string())))
-    values, _ = shingles(c.hashes(), c.first)
-    return np.unique(values, return_counts=True)
+class Forest:
+    """Components of n things; `join` says which pairs are new links between them."""
 
+    def __init__(self, labels: np.ndarray):
+        self.labels = np.unique(labels, return_inverse=True)[1]
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets."""
-    values = np.concatenate([a[0], b[0]])
-    counts = np.concatenate([a[1], b[1]])
-    order = np.argsort(values, kind="stable")
-    v, n = values[order], counts[order]
-    same = np.flatnonzero(v[1:] == v[:-1])
-    shared = int(np.minimum(n[same], n[same + 1]).sum())
-    total = int(a[1].sum() + b[1].sum()) - shared
-    return shared / total if total else 1.0
+    def join(self, x: int, hits: np.ndarray) -> list[int]:
+        """Links x with the hits of other components, one for each component."""
+        own = self.labels[x]
+        found = self.labels[hits]
+        others, at = np.unique(found, return_index=True)
+        new = others != own
+        if not new.any():
+            return []
+        self.labels[np.isin(self.labels, others[new])] = own
+        return hits[at[new]].tolist()
 
 
-def verify_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    hub, held = None, None
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal values in the first `keys` columns; each such group is small."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        keep = []
-        for hub_text, text in zip(batch.column("hub_text"), batch.column("text"), strict=True):
-            hub_text = hub_text.as_py()
-            if held is None or hub_text != hub:
-                hub, held = hub_text, multiset(hub_text)
-            keep.append(overlap(held, multiset(text.as_py())) >= least)
-        picked = batch.filter(pa.array(keep, pa.bool_()))
-        yield picked.select(["a", "b"])
-
-
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b: ids) whose texts' multisets are alike enough; b is the one that many pairs share."""
-    own = texts.select(F.col("doc_id").alias("a"), "text")
-    hubs = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("hub_text"))
-    joined = pairs.join(own, "a").join(hubs, "b").select("a", "b", "text", "hub_text")
-    return joined.mapInArrow(lambda it: verify_batches(it, least), "a long, b long")
-
-
-def block_batches(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components whose signatures are near; rows are sorted by (key, i, j) and each such group is small."""
-
-    def pairs(group: list[tuple]) -> tuple[list[int], list[int]]:
-        ids = np.array([r[3] for r in group])
-        parts = np.array([r[4] for r in group])
-        blocks = np.array([r[6] for r in group])
-        same_block = group[0][1] == group[0][2]
-        sig = np.frombuffer(b"".join(r[5] for r in group), dtype=np.uint32).reshape(len(group), -1)
-        left, right = [], []
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in columns)
+        if last is not None and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        at = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if a and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest_links(group: pa.Table, near: np.ndarray) -> tuple[list, list]:
+    """A spanning forest over the pairs of `near` (a symmetric matrix) that this pair of blocks is to compare."""
+    ids, own = group.column("doc_id").to_pylist(), group.column("own").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    forest = Forest(group.column("part").to_numpy())
+    others = np.flatnonzero(own == j)
+    a, b = [], []
+    for x in np.flatnonzero(own == i):
+        for y in forest.join(x, others[near[x, others]]):
+            a.append(ids[x])
+            b.append(ids[y])
+    return a, b
+
+
+def link_batch(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def signature_links(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
+    """Near pairs of each pair of blocks."""
+    for group in groups_of(batches, 3):
+        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), dtype=np.uint32).reshape(len(group), -1)
+        close = np.zeros((len(group), len(group)), dtype=bool)
         for x in range(len(group)):
-            if not same_block and blocks[x] != group[0][1]:
-                continue
-            fits = (parts != parts[x]) & ((sig == sig[x]).sum(axis=1) >= near)
-            fits &= (np.arange(len(group)) > x) if same_block else (blocks == group[0][2])
-            hit = np.flatnonzero(fits)
-            left += [int(ids[x])] * len(hit)
-            right += ids[hit].tolist()
-        return left, right
-
-    group: list[tuple] = []
-    for batch in batches:
-        a, b = [], []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            if group and group[0][:3] != row[:3]:
-                x, y = pairs(group)
-                a += x
-                b += y
-                group = []
-            group.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    if group:
-        a, b = pairs(group)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def block_pairs(members: DataFrame, near: int, block: int) -> DataFrame:
-    """members: key, n (members of the key), doc_id, part, signature."""
+            close[x] = (sig == sig[x]).sum(axis=1) >= near
+        yield link_batch(*forest_links(group, close))
+
+
+def overlaps(texts: pa.Array) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of texts; of two texts without words it is 1."""
+    owner, keys, at = [], [], 0
+    for c in chunks(texts):
+        values, offsets = shingles(c.hashes(), c.first)
+        o, v, n = weighted(values, offsets)
+        # the k-th occurrence of a shingle is a thing of its own, so sets of these overlap as multisets do
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner.append(np.repeat(o, n) + at)
+        keys.append(mix(np.repeat(v, n) ^ mix(nth.astype(np.uint64))))
+        at += c.hi - c.lo
+    owner, keys = np.concatenate(owner), np.concatenate(keys)
+    size = np.bincount(owner, minlength=at).astype(np.float64)
+    order = np.argsort(keys, kind="stable")
+    k, o = keys[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(begin, len(k)))
+    column = np.repeat(np.cumsum(times > 1) - 1, times)
+    shared = np.repeat(times > 1, times)
+    column, o = column[shared], o[shared]
+    both = np.zeros((at, at), dtype=np.float64)
+    width = 4096
+    edges = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + width, width))
+    for n, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = np.zeros((at, width), dtype=np.float32)
+        part[o[a:b], column[a:b] - n * width] = 1
+        both += part @ part.T
+    either = size[:, None] + size[None, :] - both
+    return np.where(either > 0, both / np.maximum(either, 1), 1.0)
+
+
+def text_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks, from the texts."""
+    for group in groups_of(batches, 3):
+        yield link_batch(*forest_links(group, overlaps(group.column("text").combine_chunks()) >= least))
+
+
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members (key, n: members of the key, doc_id, ...) dealt to all pairs of blocks of their key: key, i, j, own, ..., sorted."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    others = [c for c in members.columns if c not in ("key", "n")]
     dealt = members.withColumn("own", own).withColumn("meet", F.explode(meets))
-    rows = dealt.select("key", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "doc_id", "part", "signature", "own")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(lambda it: block_batches(it, near), "a long, b long").distinct()
+    return dealt.select("key", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "own", *others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def near_clusters(sketches: DataFrame, scratch: Scratch, near: int, block: int) -> DataFrame:
+    """node, component: clusters of near signatures among the documents that share keys."""
+    keyed = sketches.where("doc_id is not null").select("doc_id", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    grouped = scratch.keep(keyed.join(hubs.hint("merge"), "key"), "grouped")
+    signatures = sketches.where("doc_id is not null").select("doc_id", "signature").dropDuplicates(["doc_id"])
+    pairs = grouped.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    sig = lambda x: signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}"))
+    compared = pairs.join(sig("a").hint("merge"), "a").join(sig("b").hint("merge"), "b")
+    links = scratch.keep(compared.mapInArrow(lambda it: pair_links(it, near), "a long, b long"), "near")
+    parts = scratch.keep(components(links, scratch, "first"), "parts")
+
+    placed = grouped.join(parts.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = scratch.keep(placed, "placed")
+    several = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q").select("key", "n")
+    members = placed.join(several.hint("merge"), "key").join(signatures.hint("merge"), "doc_id").select("key", "n", "doc_id", "part", "signature")
+    more = scratch.keep(in_blocks(members, block).mapInArrow(lambda it: signature_links(it, near), "a long, b long"), "more")
+    return scratch.keep(components(links.unionByName(more), scratch, "second"), "clusters")
+
+
+def pair_links(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1) for x in ("sig_a", "sig_b"))
+        yield batch.filter(pa.array((a == b).sum(axis=1) >= near)).select(["a", "b"])
 
 
 def near_groups(docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: int = ROWS, block: int = BLOCK, near: int = NEAR) -> DataFrame:
@@ -246,36 +310,20 @@ def near_groups(docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: i
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.keep(base.mapInArrow(lambda it: sketch_batches(it, size, rows), "doc_id long, root binary, signature binary, bands array<long>"), "sketches")
     roots = scratch.keep(sketches.groupBy("root").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "roots")
-    # equal roots under several ids, and one id under several roots, are links of their own
-    nodes = sketches.join(roots.select("root", "rep"), "root").where(F.col("doc_id") == F.col("rep")).select("doc_id", "signature", "bands")
-    nodes = scratch.keep(nodes, "nodes")
-
-    keyed = nodes.select("doc_id", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("other")).where("b <> other").select("key", "b")
-    pairs = keyed.join(hubs, "key").where(F.col("doc_id") != F.col("b")).select(F.col("doc_id").alias("a"), "b").distinct()
-    pairs = scratch.keep(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = scratch.keep(base.join(ids, "doc_id", "left_semi"), "texts")
-    links = scratch.keep(verified(pairs, texts, least), "links")
-    parts = scratch.keep(components(links, scratch, "first"), "parts")
-
-    part = F.coalesce("component", "doc_id").alias("part")
-    placed = nodes.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "signature", "bands", part)
-    spread = placed.select("doc_id", "part", F.explode("bands").alias("key"))
-    open_keys = spread.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q").select("key", "n")
-    open_keys = scratch.keep(open_keys, "open")
-    members = spread.join(open_keys, "key").join(nodes.select("doc_id", "signature"), "doc_id").select("key", "n", "doc_id", "part", "signature")
-    more = scratch.keep(block_pairs(members, near, block), "more")
-    # pairs that were verified before needn't be again
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(pairs, ["a", "b"], "left_anti")
-    more_ids = more.select(F.col("a").alias("doc_id")).union(more.select("b")).distinct()
-    found = verified(more, scratch.keep(base.join(more_ids, "doc_id", "left_semi"), "more-texts"), least)
-    # rows with one id and different words: link the representatives of both
-    across = sketches.join(roots.where("rep is not null").select("root", "rep"), "root").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    every = links.unionByName(found).unionByName(across)
-    parts = scratch.keep(components(every, scratch, "second"), "classes")
-
-    classes = roots.join(parts, F.col("rep") == F.col("node"), "left").select("root", "copies", F.coalesce("component", "rep").alias("class_id"))
+    clusters = near_clusters(sketches, scratch, near, block)
+    # one document of each word sequence is verified
+    known = sketches.select("doc_id", "root").join(roots.select("root", "rep").hint("merge"), "root").where("doc_id is not null")
+    known = scratch.keep(known.select("doc_id", "rep"), "known")
+    verified = known.where("doc_id = rep").select("doc_id").distinct().join(clusters.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("key"))
+    counts = verified.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    verified = verified.join(counts.hint("merge"), "key")
+    texts = base.join(verified.hint("merge"), "doc_id").select("key", "n", "doc_id", F.col("doc_id").alias("part"), "text")
+    links = in_blocks(texts, block).mapInArrow(lambda it: text_links(it, least), "a long, b long")
+    # rows with one word sequence and several ids, or one id and several word sequences
+    across = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    parts = scratch.keep(components(links.unionByName(across), scratch, "third"), "classes")
+
+    classes = roots.join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select("root", "copies", F.coalesce("component", "rep").alias("class_id"))
     sizes = classes.groupBy(F.col("class_id").alias("_id")).agg(F.sum("copies").alias("class_size"))
     named = classes.join(sizes, F.col("class_id").eqNullSafe(F.col("_id"))).select("root", "class_id", "class_size")
     return sketches.select("doc_id", "root").join(named, "root").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
