@@ -22,11 +22,11 @@ MEASURES = ("requests", "successes", "failures", *TOKENS, "latency_sum_ms", "ttf
 #: Measures that a backup's events must not have below 0.
 EVENT_MEASURES = ("latency_ms", "ttft_ms", *TOKENS)
 RATES = ("input_per_million", "output_per_million", "cache_read_per_million", "cache_write_per_million", "reasoning_per_million")
-PRICE_SCHEMA = "model string, " + ", ".join(f"{r} double" for r in RATES) + ", updated_at_ms long"
+PRICE_SCHEMA = T.StructType([T.StructField("model", _S), *[T.StructField(r, T.DoubleType()) for r in RATES], T.StructField("updated_at_ms", _L)])
 BACKUP_SCHEMA = T.StructType([
     T.StructField("version", T.IntegerType()),
     T.StructField("generated_at", _S),
     T.StructField("events", T.ArrayType(T.StructType([T.StructField({"api_key_mask": "api_key"}.get(k, k), v) for k, v in EVENT.items()]))),
-    T.StructField("prices", T.ArrayType(T.StructType.fromDDL(PRICE_SCHEMA))),
+    T.StructField("prices", T.ArrayType(PRICE_SCHEMA)),
     T.StructField("truncated", _B),
 ])
