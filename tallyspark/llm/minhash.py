@@ -15,8 +15,8 @@ whose likeness is at least `least` are linked, and a group is a connected compon
    Signatures that agree in at least NEAR components (4 standard deviations below 0.8) are
    near. Every member of a key is compared with the key's smallest member, and near ones
    form clusters. Keys whose members are in several clusters are then searched in full:
-   members are dealt into blocks of about BLOCK, every pair of blocks compares its
-   signatures as arrays and gives a spanning forest of the near pairs between clusters.
+   members are dealt into blocks of about BLOCK, every pair of blocks (but those of the
+   key's largest cluster with each other) compares its signatures as arrays and gives a spanning forest of the near pairs between clusters.
    Every link between documents that share a key is now within a cluster.
 3. Clusters are verified on texts: one text of each word sequence is dealt into blocks in
    the same way, and a pair of blocks computes all overlaps of its multisets as one matrix
@@ -267,11 +267,18 @@ def text_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 
 
 def in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Members (key, n: members of the key, doc_id, ...) dealt to all pairs of blocks of their key: key, i, j, own, ..., sorted."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    others = [c for c in members.columns if c not in ("key", "n")]
+    """Members dealt to the pairs of blocks of their key that are to be compared: key, i, j, own, ..., sorted.
+
+    members: key, doc_id, main (part of a cluster that needs no comparison within itself),
+    n_main, n_rest (members of the key of both kinds), and others. Blocks of the rest meet
+    all blocks, those of the main cluster only those of the rest.
+    """
+    size = lambda n: F.ceil(F.col(n) / block).cast("int")
+    rest, hashed = size("n_rest"), F.xxhash64("doc_id")
+    own = F.when(F.col("main"), rest + F.pmod(hashed, F.greatest(size("n_main"), F.lit(1))).cast("int")).otherwise(F.pmod(hashed, F.greatest(rest, F.lit(1))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(F.col("main"), rest).otherwise(rest + size("n_main")) - 1)
+    meets = F.transform(meets, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    others = [c for c in members.columns if c not in ("key", "main", "n_main", "n_rest")]
     dealt = members.withColumn("own", own).withColumn("meet", F.explode(meets))
     return dealt.select("key", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "own", *others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -290,9 +297,14 @@ def near_clusters(sketches: DataFrame, scratch: Scratch, near: int, block: int)
 
     placed = grouped.join(parts.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     placed = scratch.keep(placed, "placed")
-    several = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n")).where("p <> q").select("key", "n")
-    members = placed.join(several.hint("merge"), "key").join(signatures.hint("merge"), "doc_id").select("key", "n", "doc_id", "part", "signature")
+    # the largest cluster of a key needs no comparison within itself
+    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest")).where("n_rest > 0")
+    members = placed.join(several.hint("merge"), "key").join(signatures.hint("merge"), "doc_id")
+    members = members.select("key", (F.col("part") == F.col("largest")).alias("main"), "n_main", "n_rest", "doc_id", "part", "signature")
     more = scratch.keep(in_blocks(members, block).mapInArrow(lambda it: signature_links(it, near), "a long, b long"), "more")
+    if more.isEmpty():
+        return parts
     return scratch.keep(components(links.unionByName(more), scratch, "second"), "clusters")
 
 
@@ -317,7 +329,7 @@ def near_groups(docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: i
     verified = known.where("doc_id = rep").select("doc_id").distinct().join(clusters.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("key"))
     counts = verified.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     verified = verified.join(counts.hint("merge"), "key")
-    texts = base.join(verified.hint("merge"), "doc_id").select("key", "n", "doc_id", F.col("doc_id").alias("part"), "text")
+    texts = base.join(verified.hint("merge"), "doc_id").select("key", F.lit(False).alias("main"), F.lit(0).alias("n_main"), F.col("n").alias("n_rest"), "doc_id", F.col("doc_id").alias("part"), "text")
     links = in_blocks(texts, block).mapInArrow(lambda it: text_links(it, least), "a long, b long")
     # rows with one word sequence and several ids, or one id and several word sequences
     across = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
