@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, as_long, chunks, lists, mix, sequence_hash, ship
@@ -341,10 +341,23 @@ def near_groups(docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: i
     return sketches.select("doc_id", "root").join(named, "root").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group, with all its columns."""
-    kept = near_groups(docs.select("doc_id", "text"), **how).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == F.col("_kept_id"))
-    # an id that occurs several times stays once
-    first = Window.partitionBy("_kept_id").orderBy("text")
-    return rows.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+def drop_near_copies(docs: DataFrame, by_id: bool = True, **how) -> DataFrame:
+    """One document of each group, with all its columns: that of the smallest id, null ids last.
+
+    With `by_id` rows of one id are one document, as in near_groups, and one of them stays;
+    else a row is known by its text alone, and only near copies are dropped.
+    """
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    # rows get numbers of their own and are written with them, as ids may be null or repeated
+    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    grouped = near_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    placed = scratch.keep(rows.select("_row", order.alias("_order")).join(grouped.hint("merge"), "_row"), "placed")
+    if by_id:
+        known = placed.where("_order.doc_id is not null")
+        firsts = known.groupBy(F.col("_order.doc_id").alias("id")).agg(F.min("_class").alias("b"))
+        links = known.select(F.col("_order.doc_id").alias("id"), F.col("_class").alias("a")).distinct().join(firsts.hint("merge"), "id").select("a", "b")
+        parts = scratch.keep(components(links, scratch, "ids"), "parts")
+        placed = placed.join(parts.hint("merge"), F.col("_class") == F.col("node"), "left").select("_order", F.coalesce("component", "_class").alias("_class"))
+    kept = placed.groupBy("_class").agg(F.min("_order").alias("_order")).select(F.col("_order._row").alias("_row"))
+    return rows.join(kept.hint("merge"), "_row").select(*docs.columns)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from corpus_pipeline import keep_one_of_near
 from tallyspark.llm import common, graphs, minhash, substrings
 
 from .helpers import DOC_SCHEMA, by_id, frame, prose, words
@@ -119,6 +120,21 @@ def test_near_groups_repeated_and_null_ids(spark):
     assert minhash.drop_near_copies(docs.where("doc_id is not null")).count() == 1
 
 
+def test_no_clean_document_is_dropped_for_its_id(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(7, a), (9, b), (7, b), (None, a + " "), (None, c), (None, c.replace(" ", "  ")), (None, None), (8, prose(4, 60)), (8, prose(5, 60))]
+    docs = spark.createDataFrame([(i, t, None, None, k) for k, (i, t) in enumerate(rows)], DOC_SCHEMA)
+    kept = minhash.drop_near_copies(docs, by_id=False).collect()
+    # a of id 7, b of id 7, one c, the empty text and both texts of id 8
+    assert {r.n_chars for r in kept} - {4, 5} == {0, 2, 6, 7, 8} and len(kept) == 6
+    # the pipeline's stage keeps as many
+    assert sorted(r.n_chars for r in keep_one_of_near(spark, docs, "").collect()) == sorted(r.n_chars for r in kept)
+    # rows of one id as one document: a and b are one group, so are the texts of id 8; null ids stay
+    one = minhash.drop_near_copies(docs).collect()
+    assert sorted(map(str, (r.doc_id for r in one))) == ["7", "8", "None", "None"]
+    assert minhash.drop_near_copies(docs.limit(0), by_id=False).count() == minhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def removal_brute(rows, width=35):
     seen = defaultdict(list)
     for k, (_, t) in enumerate(rows):
