@@ -7,11 +7,12 @@ the protected entities.
 Information-theoretic sanitisation: a term (letters only, at least MIN_TERM bytes, case
 folded for ASCII) reveals an entity by log2 P(entity | term) / P(entity) bits. P(entity |
 term) is the share of the documents with the term in which it stands within NEAR tokens of
-that entity; all documents are counted. A term is disclosing if it was seen near one
-entity in at least SUPPORT different texts, at least SHARE of its documents have it there,
-and it reveals at least BITS bits. Its occurrences, wherever they are, become spans of
-kind "term"; `sanitised` text drops terms that point to one entity with REMOVE_SHARE and
-more, and generalises others, and names the kind in place of base spans.
+that entity, P(entity) the share of all documents that hold it; all documents are counted.
+A term is disclosing if it was seen near one entity in at least SUPPORT different texts, at
+least SHARE of its documents have it there, and it reveals at least BITS bits. Its
+occurrences, wherever they are, become spans of kind "term"; `sanitised` text drops terms
+that point to one entity with REMOVE_SHARE and more, and generalises others, and names the
+kind in place of base spans.
 
 Scale: terms near entities are counted from documents with entities only. The documents
 of the candidates are counted in the tasks that read them against the candidates' hashes,
@@ -136,7 +137,7 @@ def entity_hash(kind: int, value: str) -> int:
 
 
 def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, term, text hash of the terms near the entities of each document (once each)."""
+    """entity, term, text hash of the terms near the entities of each document (once each), and each of its entities with a null term."""
     for batch in batches:
         for c in chunks(batch.column("text"), kinds=TOKENS):
             entities, found, owners = [], [], []
@@ -155,15 +156,16 @@ def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, b in covered:
                     free[(c.start[first:last] < b) & (c.stop[first:last] > a)] = False
                 own = int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                pairs = set()
+                pairs, values = set(), set()
                 for (s, kind, e), (a, b) in zip(spans, covered, strict=True):
                     x, y = np.searchsorted(c.start, [a, b])
                     near = np.arange(max(first, x - NEAR), min(last, y + NEAR))
                     value = entity_hash(kind, text[s:e])
+                    values.add(value)
                     pairs.update((value, int(t)) for t in as_long(h[near[free[near - first]]]))
-                entities += [p[0] for p in pairs]
-                found += [p[1] for p in pairs]
-                owners += [own] * len(pairs)
+                entities += [p[0] for p in pairs] + list(values)
+                found += [p[1] for p in pairs] + [None] * len(values)
+                owners += [own] * (len(pairs) + len(values))
             yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(found, pa.int64()), pa.array(owners, pa.int64())], ["entity", "term", "text_hash"])
 
 
@@ -210,7 +212,7 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, support: int = SUPPORT,
     """term (hash), share, bits of the terms that disclose an entity: their most certain one."""
     base = docs.select(F.col("text").cast("string").alias("text"))
     near = scratch.keep(base.mapInArrow(near_batches, "entity long, term long, text_hash long"), "near")
-    pairs = near.groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
+    pairs = near.where("term is not null").groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
     pairs = scratch.keep(pairs.where(F.col("texts") >= support), "pairs")
     wanted = sent_hashes(pairs, "term", sent)
     if wanted is not None and not len(wanted):
@@ -219,8 +221,7 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, support: int = SUPPORT,
     if wanted is None:
         counts = counts.join(pairs.select("term").distinct(), "term", "left_semi")
     counts = counts.groupBy("term").agg(F.sum("documents").alias("documents"))
-    # documents of an entity: at least those of its most frequent neighbour
-    entities = pairs.groupBy("entity").agg(F.max("together").alias("entity_documents"))
+    entities = near.where("term is null").groupBy("entity").agg(F.count(F.lit(1)).alias("entity_documents"))
     total = docs.count()
     told = pairs.join(counts, "term").join(entities, "entity")
     certain = F.col("together") / F.col("documents")

@@ -254,6 +254,18 @@ def test_pii_awkward_texts(spark):
     assert pii.private_spans(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [500_000, 1])
+def test_terms_near_an_entity_of_many_documents_reveal_little(spark, sent):
+    # a third of all documents hold the address, so no term can tell more than log2(3) bits of it
+    texts = [f"{prose(i, 20)} {'Zorblatt' if i < 4 else ''} hot@corp.example {prose(i + 500, 20)}" for i in range(100)]
+    texts += [f"{prose(i + 1000, 30)}" for i in range(200)]
+    got = pii.private_spans(frame(spark, texts), sent=sent).collect()
+    assert len(got) == 300 and sum(r.n_email for r in got) == 100
+    assert not [r.spans for r in got if "term:" in r.spans]
+    told = pii.private_spans(frame(spark, texts), sent=sent, bits=1.5).collect()
+    assert sorted(r.doc_id for r in told if "term:" in r.spans) == [1, 2, 3, 4]
+
+
 @pytest.mark.parametrize("sent", [500_000, 1])
 def test_terms_that_reveal_an_entity(spark, sent):
     texts = [f"{prose(i, 20)} Zorblatt writes to secret@corp.example and {prose(i + 90, 20)}" for i in range(6)]
