@@ -12,8 +12,8 @@ whose likeness is at least `least` are linked, and a group is a connected compon
    with a probability of exactly the weighted Jaccard similarity. A process stops at the
    first point later than all components of its document.
 2. Bands of ROWS components are keys; documents that share a key are candidates.
-   Signatures that agree in at least NEAR components (4 standard deviations below 0.8) are
-   near. Every member of a key is compared with the key's smallest member, and near ones
+   Signatures that agree in at least NEAR components are near; at a likeness of 0.8 a pair
+   agrees in fewer with a chance of 2.7e-8, and shares no key with one of 4.7e-8. Every member of a key is compared with the key's smallest member, and near ones
    form clusters. Keys whose members are in several clusters are then searched in full:
    members are dealt into blocks of about BLOCK, every pair of blocks (but those of the
    key's largest cluster with each other) compares its signatures as arrays and gives a spanning forest of the near pairs between clusters.
@@ -22,7 +22,8 @@ whose likeness is at least `least` are linked, and a group is a connected compon
    the same way, and a pair of blocks computes all overlaps of its multisets as one matrix
    product and gives a spanning forest of the true links. Groups are the components.
 
-So no link is lost to a choice of representatives, no list of all pairs is ever made, and
+A member of n others in a key or cluster is sent to n / BLOCK pairs of blocks, with its
+signature or text. So no link is lost to a choice of representatives, no list of all pairs is ever made, and
 no key or cluster is gathered in one task. What grows with the data is never broadcast.
 
 Components and links stay in Spark tables. Texts without words form one group. Repeated
@@ -48,7 +49,7 @@ LEAST = 0.8
 SIZE = 128
 ROWS = 4
 BLOCK = 256
-NEAR = 84
+NEAR = 76
 
 _TO_UNIT = 1.0 / (1 << 53)
 
