@@ -37,6 +37,31 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as make it none of the columns of `docs` (whatever their case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, also if it has dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def join_split(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of `groups`, an aggregate with one row for each value of the long column `key`.
+
+    An aggregate is dealt out by its key already, and a join on it would have an exchange on one
+    side only, which adaptive execution can't split at hot keys. Here the aggregate goes by the
+    key's complement, so both sides have an exchange of their own.
+    """
+    others = [c for c in groups.columns if c != key]
+    dealt = groups.select(F.bitwise_not(key).alias("_complement"), *others)
+    return rows.join(dealt.hint("merge"), F.col(key) == F.bitwise_not("_complement")).drop("_complement")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

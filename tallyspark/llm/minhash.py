@@ -11,25 +11,31 @@ whose likeness is at least `least` are linked, and a group is a connected compon
    component keeps its earliest point whose weight is below w. Two components are equal
    with a probability of exactly the weighted Jaccard similarity. A process stops at the
    first point later than all components of its document.
-2. Bands of ROWS components are keys; documents that share a key are candidates.
-   Signatures that agree in at least NEAR components are near; at a likeness of 0.8 a pair
-   agrees in fewer with a chance of 2.7e-8, and shares no key with one of 4.7e-8. Every member of a key is compared with the key's smallest member, and near ones
-   form clusters. Keys whose members are in several clusters are then searched in full:
-   members are dealt into blocks of about BLOCK, every pair of blocks (but those of the
-   key's largest cluster with each other) compares its signatures as arrays and gives a spanning forest of the near pairs between clusters.
-   Every link between documents that share a key is now within a cluster.
-3. Clusters are verified on texts: one text of each word sequence is dealt into blocks in
-   the same way, and a pair of blocks computes all overlaps of its multisets as one matrix
-   product and gives a spanning forest of the true links. Groups are the components.
-
-A member of n others in a key or cluster is sent to n / BLOCK pairs of blocks, with its
-signature or text. So no link is lost to a choice of representatives, no list of all pairs is ever made, and
-no key or cluster is gathered in one task. What grows with the data is never broadcast.
+2. Rows with one word sequence become one text, a node; all that follows is on nodes.
+3. Bands of ROWS components are keys; nodes that share a key are candidates. Signatures that
+   agree in at least NEAR components are near; at a likeness of 0.8 a pair agrees in fewer
+   with a chance of 2.7e-8, and shares no key with one of 4.7e-8. Every member of a key is
+   compared with the key's smallest member, and near ones form clusters. Keys whose members
+   are in several clusters are then searched in full: members are dealt into blocks of about
+   BLOCK, every pair of blocks (but those of the key's largest cluster with each other)
+   compares its signatures as arrays and gives a spanning forest of the near pairs between
+   clusters. Every link between nodes that share a key is now within a cluster.
+4. Clusters are verified on texts in two steps. First the members of a cluster are dealt
+   into blocks of about BLOCK texts or BLOCK_BYTES, and about HUBS members go to every block:
+   n members make about n * (1 + HUBS / BLOCK) rows. A block computes all overlaps of its
+   multisets as one matrix product and gives a spanning forest of the true links. Only
+   members that are not linked to the cluster's largest part then meet all its blocks.
+   Groups are the components.
+
+The second steps of 3 and 4 send m members that stand apart to m * n / BLOCK rows, so what
+is quadratic is a cluster whose members are near each other without being linked. No link
+is lost to a choice of representatives, no list of all pairs is ever made, and no key or
+cluster is gathered in one task. What grows with the data is never broadcast.
 
 Components and links stay in Spark tables. Texts without words form one group. Repeated
 rows are members of their group; rows with one id and different texts join their groups.
-Null ids have a null class if no row with the same words has an id. An empty table gives
-an empty result.
+Null ids have a null class if no row of the group has an id. An empty table gives an empty
+result. Other columns, whatever their names, are passed on by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -38,10 +44,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_long, chunks, lists, mix, sequence_hash, ship
+from .common import Scratch, as_long, chunks, free_name, join_split, lists, mix, quoted, sequence_hash, ship
 from .graphs import components
 
 SHINGLE = 5
@@ -49,6 +55,8 @@ LEAST = 0.8
 SIZE = 128
 ROWS = 4
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
+HUBS = 8
 NEAR = 76
 
 _TO_UNIT = 1.0 / (1 << 53)
@@ -136,6 +144,7 @@ def band_keys(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The other columns of each row with the hash of its word sequence, its signature and its keys."""
     for batch in batches:
         for c in chunks(batch.column("text")):
             h = c.hashes()
@@ -147,15 +156,9 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> I
             root = np.stack([sequence_hash(h, c.first, 1), sequence_hash(h, c.first, 2)], axis=1)
             filled = c.n_words > 0
             keys_of = lists(as_long(keys[filled].ravel()), np.where(filled, keys.shape[1], 0), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(c.lo, docs),
-                    pa.array([x.tobytes() for x in root], pa.binary()),
-                    pa.array([x.tobytes() for x in signatures], pa.binary()),
-                    keys_of,
-                ],
-                ["doc_id", "root", "signature", "bands"],
-            )
+            others = [n for n in batch.schema.names if n != "text"]
+            columns = [pa.array([x.tobytes() for x in root], pa.binary()), pa.array([x.tobytes() for x in signatures], pa.binary()), keys_of]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(c.lo, docs) for n in others), *columns], [*others, "root", "signature", "bands"])
 
 
 class Forest:
@@ -204,7 +207,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
 
 def forest_links(group: pa.Table, near: np.ndarray) -> tuple[list, list]:
     """A spanning forest over the pairs of `near` (a symmetric matrix) that this pair of blocks is to compare."""
-    ids, own = group.column("doc_id").to_pylist(), group.column("own").to_numpy()
+    ids, own = group.column("node").to_pylist(), group.column("own").to_numpy()
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     forest = Forest(group.column("part").to_numpy())
     others = np.flatnonzero(own == j)
@@ -267,46 +270,60 @@ def text_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
         yield link_batch(*forest_links(group, overlaps(group.column("text").combine_chunks()) >= least))
 
 
-def in_blocks(members: DataFrame, block: int) -> DataFrame:
+def blocks_of(n: str, block: int, bytes_of: str | None = None, block_bytes: int = BLOCK_BYTES) -> Column:
+    """The number of blocks of `n` members, of `bytes_of` bytes together."""
+    count = F.ceil(F.col(n) / block)
+    return (count if bytes_of is None else F.greatest(count, F.ceil(F.col(bytes_of) / block_bytes))).cast("int")
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
     """Members dealt to the pairs of blocks of their key that are to be compared: key, i, j, own, ..., sorted.
 
-    members: key, doc_id, main (part of a cluster that needs no comparison within itself),
-    n_main, n_rest (members of the key of both kinds), and others. Blocks of the rest meet
-    all blocks, those of the main cluster only those of the rest.
+    members: key, node, main (part of the key's largest part, which needs no comparison
+    within itself), main_blocks, rest_blocks (blocks of the key for members of both kinds),
+    and others. Blocks of the rest meet all blocks, those of the main part only those of the
+    rest.
     """
-    size = lambda n: F.ceil(F.col(n) / block).cast("int")
-    rest, hashed = size("n_rest"), F.xxhash64("doc_id")
-    own = F.when(F.col("main"), rest + F.pmod(hashed, F.greatest(size("n_main"), F.lit(1))).cast("int")).otherwise(F.pmod(hashed, F.greatest(rest, F.lit(1))).cast("int"))
-    meets = F.sequence(F.lit(0), F.when(F.col("main"), rest).otherwise(rest + size("n_main")) - 1)
+    rest, hashed = F.col("rest_blocks"), F.xxhash64("node")
+    own = F.when(F.col("main"), rest + F.pmod(hashed, F.greatest("main_blocks", F.lit(1))).cast("int")).otherwise(F.pmod(hashed, F.greatest(rest, F.lit(1))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(F.col("main"), rest).otherwise(rest + F.col("main_blocks")) - 1)
     meets = F.transform(meets, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    others = [c for c in members.columns if c not in ("key", "main", "n_main", "n_rest")]
+    others = [c for c in members.columns if c not in ("key", "main", "main_blocks", "rest_blocks")]
     dealt = members.withColumn("own", own).withColumn("meet", F.explode(meets))
     return dealt.select("key", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "own", *others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def near_clusters(sketches: DataFrame, scratch: Scratch, near: int, block: int) -> DataFrame:
-    """node, component: clusters of near signatures among the documents that share keys."""
-    keyed = sketches.where("doc_id is not null").select("doc_id", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = scratch.keep(keyed.join(hubs.hint("merge"), "key"), "grouped")
-    signatures = sketches.where("doc_id is not null").select("doc_id", "signature").dropDuplicates(["doc_id"])
-    pairs = grouped.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-    sig = lambda x: signatures.select(F.col("doc_id").alias(x), F.col("signature").alias(f"sig_{x}"))
+def apart(placed: DataFrame, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Keys whose members (key, node, part, bytes) are in several parts: key, largest (their largest part), main_blocks, rest_blocks."""
+    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    first = F.struct("n", "part")
+    keys = sizes.groupBy("key").agg(
+        F.max_by("part", first).alias("largest"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.max_by("bytes", first).alias("bytes_main"), F.sum("bytes").alias("bytes"),
+    )
+    keys = keys.withColumns({"n_rest": F.col("n") - F.col("n_main"), "bytes_rest": F.col("bytes") - F.col("bytes_main")}).where("n_rest > 0")
+    return keys.select("key", "largest", blocks_of("n_main", block, "bytes_main", block_bytes).alias("main_blocks"), blocks_of("n_rest", block, "bytes_rest", block_bytes).alias("rest_blocks"))
+
+
+def near_clusters(nodes: DataFrame, scratch: Scratch, near: int, block: int) -> DataFrame:
+    """node, component: clusters of near signatures among the nodes that share keys."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    grouped = scratch.keep(join_split(keyed, hubs, "key"), "grouped")
+    signatures = nodes.select("node", "signature")
+    pairs = grouped.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    sig = lambda x: signatures.select(F.col("node").alias(x), F.col("signature").alias(f"sig_{x}"))
     compared = pairs.join(sig("a").hint("merge"), "a").join(sig("b").hint("merge"), "b")
     links = scratch.keep(compared.mapInArrow(lambda it: pair_links(it, near), "a long, b long"), "near")
-    parts = scratch.keep(components(links, scratch, "first"), "parts")
+    parts = components(links, scratch, "first")
 
-    placed = grouped.join(parts.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = grouped.join(parts.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"), F.lit(0).alias("bytes"))
     placed = scratch.keep(placed, "placed")
-    # the largest cluster of a key needs no comparison within itself
-    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.max("n").alias("n_main"), (F.sum("n") - F.max("n")).alias("n_rest")).where("n_rest > 0")
-    members = placed.join(several.hint("merge"), "key").join(signatures.hint("merge"), "doc_id")
-    members = members.select("key", (F.col("part") == F.col("largest")).alias("main"), "n_main", "n_rest", "doc_id", "part", "signature")
-    more = scratch.keep(in_blocks(members, block).mapInArrow(lambda it: signature_links(it, near), "a long, b long"), "more")
-    if more.isEmpty():
-        return parts
-    return scratch.keep(components(links.unionByName(more), scratch, "second"), "clusters")
+    scratch.drop("grouped")
+    members = join_split(placed, apart(placed, block), "key").join(signatures.hint("merge"), "node")
+    members = members.select("key", (F.col("part") == F.col("largest")).alias("main"), "main_blocks", "rest_blocks", "node", "part", "signature")
+    more = scratch.keep(in_blocks(members).mapInArrow(lambda it: signature_links(it, near), "a long, b long"), "more")
+    scratch.drop("placed")
+    return parts if more.isEmpty() else components(links.unionByName(more), scratch, "second")
 
 
 def pair_links(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
@@ -315,31 +332,66 @@ def pair_links(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.Reco
         yield batch.filter(pa.array((a == b).sum(axis=1) >= near)).select(["a", "b"])
 
 
-def near_groups(docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: int = ROWS, block: int = BLOCK, near: int = NEAR) -> DataFrame:
+def true_links(base: DataFrame, nodes: DataFrame, clusters: DataFrame, scratch: Scratch, least: float, block: int, block_bytes: int) -> DataFrame:
+    """a, b: links that join all members of a cluster whose texts are linked, directly or through others."""
+    members = clusters.join(nodes.select("node", "doc_id", "text_hash", "bytes").hint("merge"), "node").withColumnRenamed("component", "key")
+    members = scratch.keep(members, "members")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes"), F.min("node").alias("least"))
+    counts = counts.select("key", "n", "least", blocks_of("n", block, "all_bytes", block_bytes).alias("blocks"))
+    hashed = F.xxhash64("node", F.lit(1))
+    hub = (F.col("node") == F.col("least")) | (F.pmod(hashed, F.col("n")) < HUBS)
+    own = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(hashed, F.col("blocks")).cast("int")))
+    dealt = join_split(members, counts, "key").select("key", "node", "bytes", "doc_id", "text_hash", own.alias("own"))
+    # one row of each node gives the text; equal rows are one before they are dealt out
+    place = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    rows = place(base).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    texts = scratch.keep(rows.join(place(dealt).hint("merge"), ["doc_id", "text_hash"]).select("key", "node", "bytes", "own", "text"), "texts")
+    scratch.drop("members")
+
+    blocks = texts.select("key", F.explode("own").alias("i"), "node", F.col("node").alias("part"), "text").withColumn("j", F.col("i")).withColumn("own", F.col("i"))
+    blocks = blocks.select("key", "i", "j", "own", "node", "part", "text").repartition("key", "i").sortWithinPartitions("key", "i")
+    links = scratch.keep(blocks.mapInArrow(lambda it: text_links(it, least), "a long, b long"), "links")
+    parts = components(links, scratch, "blocks")
+
+    placed = texts.select("key", "node", "bytes").join(parts.hint("merge"), "node", "left").select("key", "node", "bytes", F.coalesce("component", "node").alias("part"))
+    placed = scratch.keep(placed, "parted")
+    rest = join_split(placed, apart(placed, block, block_bytes), "key").join(texts.select("node", "text").hint("merge"), "node")
+    rest = rest.select("key", (F.col("part") == F.col("largest")).alias("main"), "main_blocks", "rest_blocks", "node", "part", "text")
+    more = scratch.keep(in_blocks(rest).mapInArrow(lambda it: text_links(it, least), "a long, b long"), "more-links")
+    scratch.drop("parted")
+    scratch.drop("texts")
+    return links.unionByName(more)
+
+
+def near_groups(
+    docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: int = ROWS, block: int = BLOCK, near: int = NEAR, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its group), class_size, kept (is that id)."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "minhash")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = scratch.keep(base.mapInArrow(lambda it: sketch_batches(it, size, rows), "doc_id long, root binary, signature binary, bands array<long>"), "sketches")
-    roots = scratch.keep(sketches.groupBy("root").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "roots")
-    clusters = near_clusters(sketches, scratch, near, block)
-    # one document of each word sequence is verified
-    known = sketches.select("doc_id", "root").join(roots.select("root", "rep").hint("merge"), "root").where("doc_id is not null")
-    known = scratch.keep(known.select("doc_id", "rep"), "known")
-    verified = known.where("doc_id = rep").select("doc_id").distinct().join(clusters.hint("merge"), F.col("doc_id") == F.col("node")).select("doc_id", F.col("component").alias("key"))
-    counts = verified.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    verified = verified.join(counts.hint("merge"), "key")
-    texts = base.join(verified.hint("merge"), "doc_id").select("key", F.lit(False).alias("main"), F.lit(0).alias("n_main"), F.col("n").alias("n_rest"), "doc_id", F.col("doc_id").alias("part"), "text")
-    links = in_blocks(texts, block).mapInArrow(lambda it: text_links(it, least), "a long, b long")
-    # rows with one word sequence and several ids, or one id and several word sequences
-    across = known.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    parts = scratch.keep(components(links.unionByName(across), scratch, "third"), "classes")
-
-    classes = roots.join(parts.hint("merge"), F.col("rep") == F.col("node"), "left").select("root", "copies", F.coalesce("component", "rep").alias("class_id"))
-    sizes = classes.groupBy(F.col("class_id").alias("_id")).agg(F.sum("copies").alias("class_size"))
-    named = classes.join(sizes, F.col("class_id").eqNullSafe(F.col("_id"))).select("root", "class_id", "class_size")
-    return sketches.select("doc_id", "root").join(named, "root").select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sized = base.select("doc_id", "text_hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
+    kinds = "doc_id long, text_hash long, bytes long, root binary, signature binary, bands array<long>"
+    sketches = scratch.keep(sized.mapInArrow(lambda it: sketch_batches(it, size, rows), kinds), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "bytes")).alias("first")
+    nodes = sketches.groupBy("root").agg(first, F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    numbered = nodes.select(F.monotonically_increasing_id().alias("node"), "root", "first.doc_id", "first.text_hash", "first.bytes", "copies", "signature", "bands")
+    nodes = scratch.keep(numbered, "nodes")
+    links = true_links(base, nodes, near_clusters(nodes, scratch, near, block), scratch, least, block, block_bytes)
+    # ids with several word sequences
+    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("doc_id")
+    known = sketches.select("doc_id", "root").join(several.hint("merge"), "doc_id").distinct().join(nodes.select("root", "node").hint("merge"), "root")
+    known = scratch.keep(known.select("doc_id", F.col("node").alias("a")), "known")
+    across = known.join(known.groupBy("doc_id").agg(F.min("a").alias("b")).hint("merge"), "doc_id").select("a", "b")
+    parts = components(links.unionByName(across), scratch, "classes")
+
+    classes = nodes.select("node", "root", "doc_id", "copies").join(parts.hint("merge"), "node", "left").select("root", "doc_id", "copies", F.coalesce("component", "node").alias("class"))
+    classes = scratch.keep(classes, "placed-classes")
+    sizes = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = scratch.keep(join_split(classes, sizes, "class").select("root", "class_id", "class_size"), "named")
+    marked = sketches.select("doc_id", "root").join(named.hint("merge"), "root")
+    return marked.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, by_id: bool = True, **how) -> DataFrame:
@@ -350,15 +402,17 @@ def drop_near_copies(docs: DataFrame, by_id: bool = True, **how) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "near-copies")
     # rows get numbers of their own and are written with them, as ids may be null or repeated
-    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    grouped = near_groups(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
-    placed = scratch.keep(rows.select("_row", order.alias("_order")).join(grouped.hint("merge"), "_row"), "placed")
+    row = free_name(docs, "row_number")
+    rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    narrow = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    grouped = near_groups(narrow.select(F.col("row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "row")
+    placed = scratch.keep(narrow.select("row", order.alias("order")).join(grouped.hint("merge"), "row"), "placed")
     if by_id:
-        known = placed.where("_order.doc_id is not null")
-        firsts = known.groupBy(F.col("_order.doc_id").alias("id")).agg(F.min("_class").alias("b"))
-        links = known.select(F.col("_order.doc_id").alias("id"), F.col("_class").alias("a")).distinct().join(firsts.hint("merge"), "id").select("a", "b")
-        parts = scratch.keep(components(links, scratch, "ids"), "parts")
-        placed = placed.join(parts.hint("merge"), F.col("_class") == F.col("node"), "left").select("_order", F.coalesce("component", "_class").alias("_class"))
-    kept = placed.groupBy("_class").agg(F.min("_order").alias("_order")).select(F.col("_order._row").alias("_row"))
-    return rows.join(kept.hint("merge"), "_row").select(*docs.columns)
+        known = placed.where("order.id is not null")
+        firsts = known.groupBy(F.col("order.id").alias("id")).agg(F.min("class").alias("b"))
+        links = known.select(F.col("order.id").alias("id"), F.col("class").alias("a")).distinct().join(firsts.hint("merge"), "id").select("a", "b")
+        parts = components(links, scratch, "ids")
+        placed = placed.join(parts.hint("merge"), F.col("class") == F.col("node"), "left").select("order", F.coalesce("component", "class").alias("class"))
+    kept = placed.groupBy("class").agg(F.min("order").alias("order")).select(F.col("order.row").alias(row))
+    return rows.join(kept.hint("merge"), row).select(*map(quoted, docs.columns))
