@@ -1,18 +1,24 @@
 """Personal data: patterns, and terms that reveal protected entities.
 
 Base spans are emails, IP addresses, payment cards and phone numbers by pattern (leftmost,
-not overlapping within a kind; a match that fails its check is dropped). Their values are
-the protected entities.
-
-Information-theoretic sanitisation: a term (letters only, at least MIN_TERM bytes, case
-folded for ASCII) reveals an entity by log2 P(entity | term) / P(entity) bits. P(entity |
-term) is the share of the documents with the term in which it stands within NEAR tokens of
-that entity, P(entity) the share of all documents that hold it; all documents are counted.
-A term is disclosing if it was seen near one entity in at least SUPPORT different texts, at
-least SHARE of its documents have it there, and it reveals at least BITS bits. Its
-occurrences, wherever they are, become spans of kind "term"; `sanitised` text drops terms
-that point to one entity with REMOVE_SHARE and more, and generalises others, and names the
-kind in place of base spans.
+not overlapping within a kind; a match that fails its check is dropped). The protected
+entities are each value, the group it belongs to (mail domain, first half of an address,
+issuer of a card, start of a phone number), its kind, and the kind "secret": a place where
+a word of CUES assigns something.
+
+Information-theoretic sanitisation: a term (a run of letters and digits, at least MIN_TERM
+bytes, case folded for ASCII) reveals an entity by log2 P(entity | term) / P(entity) bits.
+P(entity | term) is the share of the documents with the term in which it stands within NEAR
+tokens of that entity, P(entity) the share of all documents that hold it; all documents are
+counted. Terms of at least SHAPED bytes with both letters and digits (keys, digests) seldom
+repeat, so they are also counted by their shape, the length: what the corpus tells of the
+shape is taken for the term.
+
+A term or shape is disclosing if it was seen near one entity in at least SUPPORT different
+contexts (the tokens within NEAR), at least SHARE of its documents have it there, and it
+reveals at least BITS bits. Its occurrences, wherever they are, become spans of kind
+"term"; `sanitised` text drops terms that point to one entity with REMOVE_SHARE and more,
+and generalises others, and names the kind in place of base spans.
 
 Scale: terms near entities are counted from documents with entities only. The documents
 of the candidates are counted in the tasks that read them against the candidates' hashes,
@@ -21,7 +27,7 @@ distinct terms with counts, and those are joined. Marking has the same two ways:
 sent list, or a join of the documents' own distinct terms with the disclosing ones.
 
 Null and empty texts have no spans. Repeated rows are documents of their own in shares and
-one text in the support. An empty table gives an empty result.
+one context in the support. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, TOKENS, Chunk, Scratch, as_long, chunks, lists, mix, ship
+from .common import DIGITS, LETTERS, TOKENS, Chunk, Scratch, as_long, chunks, lists, mix, ship
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 12
 MIN_TERM = 4
+SHAPED = 16
 SUPPORT = 3
 SHARE = 0.5
 BITS = 4.0
@@ -56,6 +63,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _PART = re.compile(r"[0-9]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+#: Words that name a secret. Fixed values.
+CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key")
+CUE_BYTES = 24
+_CUE = re.compile(rb"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(CUES).encode() + rb")[\"']?[ \t]{0,3}\Z")
+SECRET = 4
+#: Kinds of bytes: letters and digits stand in one token.
+TERMS = np.where(TOKENS == DIGITS, LETTERS, TOKENS).astype(np.uint8)
+_SHAPE = np.uint64(0x5348415045)
 
 
 def luhn(digits: str) -> bool:
@@ -119,61 +134,92 @@ def may_have_spans(c: Chunk) -> np.ndarray:
     return np.flatnonzero(sums[c.ends[1:]] > sums[c.ends[:-1]])
 
 
+def cues(c: Chunk) -> dict[int, list[tuple[int, int]]]:
+    """Byte ranges, by text, from a word of CUES to the = or : that follows it."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    signs = np.flatnonzero((c.data == 0x3D) | (c.data == 0x3A))
+    owners = np.searchsorted(c.ends, signs, side="right") - 1
+    for p, i in zip(signs.tolist(), owners.tolist(), strict=True):
+        low = max(int(c.ends[i]), p - CUE_BYTES)
+        if m := _CUE.search(c.data[low:p].tobytes()):
+            out.setdefault(i, []).append((low + m.start(), p + 1))
+    return out
+
+
 def byte_places(c: Chunk, i: int) -> np.ndarray:
     """Byte offset (in the chunk) of each code point of text i, and of its end."""
     own = c.data[c.ends[i] : c.ends[i + 1]]
     return np.append(np.flatnonzero((own & 0xC0) != 0x80), len(own)) + c.ends[i]
 
 
-def terms(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and which of them are terms."""
+def terms(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, which of them are terms, and hashes of their shapes (0: none)."""
     h = c.hashes(5, lower=True)
-    return h, (TOKENS[c.data[c.start]] == LETTERS) & (c.stop - c.start >= MIN_TERM)
+    length = c.stop - c.start
+    usable = (TERMS[c.data[c.start]] == LETTERS) & (length >= MIN_TERM)
+    digits = np.concatenate([[0], np.cumsum(TOKENS[c.data] == DIGITS)])
+    digits = digits[c.stop] - digits[c.start]
+    shaped = usable & (length >= SHAPED) & (digits > 0) & (digits < length)
+    return h, usable, np.where(shaped, mix(length.astype(np.uint64) ^ _SHAPE), np.uint64(0))
 
 
-def entity_hash(kind: int, value: str) -> int:
+def entities_of(kind: int, value: str) -> list[int]:
+    """Hashes of the entities that a base span names: the value, its group and its kind."""
     plain = value.lower() if kind == 0 else _NOT_DIGIT.sub("." if kind == 1 else "", value)
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
+    group = plain.partition("@")[2] if kind == 0 else ".".join(plain.split(".")[:2]) if kind == 1 else plain[:6]
+    names = (f"{kind}:{plain}", f"{kind}/{group}", f"{kind}")
+    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True) for x in names]
 
 
 def near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, term, text hash of the terms near the entities of each document (once each), and each of its entities with a null term."""
+    """entity, term, context of the terms and shapes near the entities of each document (once each), and each of its entities with a null term."""
     for batch in batches:
-        for c in chunks(batch.column("text"), kinds=TOKENS):
-            entities, found, owners = [], [], []
-            h = usable = None
-            for i in may_have_spans(c):
+        for c in chunks(batch.column("text"), kinds=TERMS):
+            entities, found, contexts = [], [], []
+            told = cues(c)
+            h = usable = shapes = None
+            for i in sorted({*may_have_spans(c).tolist(), *told}):
                 text = text_at(c, i)
                 spans = base_spans(text)
-                if not spans:
+                if not spans and i not in told:
                     continue
                 if h is None:
-                    h, usable = terms(c)
+                    h, usable, shapes = terms(c)
                 place = byte_places(c, i)
-                covered = [(int(place[a]), int(place[b])) for a, _, b in spans]
+                named = [(int(place[a]), int(place[b]), entities_of(kind, text[a:b])) for a, kind, b in spans]
+                named += [(a, b, [SECRET]) for a, b in told.get(i, ())]
                 first, last = c.first[i], c.first[i + 1]
                 free = usable[first:last].copy()
-                for a, b in covered:
+                for a, b, _ in named:
                     free[(c.start[first:last] < b) & (c.stop[first:last] > a)] = False
-                own = int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                pairs, values = set(), set()
-                for (s, kind, e), (a, b) in zip(spans, covered, strict=True):
+                pairs: dict[tuple[int, int], int] = {}
+                values: set[int] = set()
+                for a, b, own in named:
                     x, y = np.searchsorted(c.start, [a, b])
                     near = np.arange(max(first, x - NEAR), min(last, y + NEAR))
-                    value = entity_hash(kind, text[s:e])
-                    values.add(value)
-                    pairs.update((value, int(t)) for t in as_long(h[near[free[near - first]]]))
-                entities += [p[0] for p in pairs] + list(values)
-                found += [p[1] for p in pairs] + [None] * len(values)
-                owners += [own] * (len(pairs) + len(values))
-            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(found, pa.int64()), pa.array(owners, pa.int64())], ["entity", "term", "text_hash"])
+                    near = near[free[near - first]]
+                    context = int(mix(np.array([len(near)], dtype=np.uint64) + h[near].sum(dtype=np.uint64)).view(np.int64)[0])
+                    values.update(own)
+                    for t in {*as_long(h[near]).tolist(), *as_long(shapes[near][shapes[near] > 0]).tolist()}:
+                        for e in own:
+                            pairs[e, t] = min(context, pairs.get((e, t), context))
+                entities += [e for e, _ in pairs] + list(values)
+                found += [t for _, t in pairs] + [None] * len(values)
+                contexts += list(pairs.values()) + [0] * len(values)
+            yield pa.RecordBatch.from_arrays([pa.array(entities, pa.int64()), pa.array(found, pa.int64()), pa.array(contexts, pa.int64())], ["entity", "term", "context"])
+
+
+def occurrences(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers and hashes of all terms, and then of those with a shape."""
+    h, usable, shapes = terms(c)
+    own, shaped = np.flatnonzero(usable), np.flatnonzero(shapes)
+    return np.concatenate([own, shaped]), np.concatenate([h[own], shapes[shaped]])
 
 
 def distinct_terms(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(document, term hash) pairs of a chunk, each once."""
-    h, usable = terms(c)
-    doc = np.repeat(np.arange(c.hi - c.lo), np.diff(c.first))[usable]
-    h = h[usable]
+    """(document, term or shape hash) pairs of a chunk, each once."""
+    at, h = occurrences(c)
+    doc = np.searchsorted(c.first, at, side="right") - 1
     _, at = np.unique(mix(h ^ mix(doc.astype(np.uint64))), return_index=True)
     return doc[at], h[at]
 
@@ -182,14 +228,14 @@ def count_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None)
     """term, documents: of the wanted terms (sorted hashes), or of all terms a chunk at a time."""
     total = np.zeros(0 if wanted is None else len(wanted), dtype=np.int64)
     for batch in batches:
-        for c in chunks(batch.column("text"), kinds=TOKENS):
+        for c in chunks(batch.column("text"), kinds=TERMS):
             if wanted is not None:
                 # most terms aren't wanted: look them up before making them distinct
-                h, usable = terms(c)
+                token, h = occurrences(c)
                 at = np.searchsorted(wanted, h)
                 at[at == len(wanted)] = 0
-                hit = np.flatnonzero(usable & (wanted[at] == h))
-                doc = np.searchsorted(c.first, hit, side="right") - 1
+                hit = wanted[at] == h
+                doc = np.searchsorted(c.first, token[hit], side="right") - 1
                 pairs = np.unique(doc * len(wanted) + at[hit])
                 total += np.bincount(pairs % len(wanted), minlength=len(wanted))
             else:
@@ -211,9 +257,9 @@ def sent_hashes(df: DataFrame, column: str, sent: int) -> np.ndarray | None:
 def disclosing_terms(docs: DataFrame, scratch: Scratch, support: int = SUPPORT, share: float = SHARE, bits: float = BITS, sent: int = SENT) -> DataFrame:
     """term (hash), share, bits of the terms that disclose an entity: their most certain one."""
     base = docs.select(F.col("text").cast("string").alias("text"))
-    near = scratch.keep(base.mapInArrow(near_batches, "entity long, term long, text_hash long"), "near")
-    pairs = near.where("term is not null").groupBy("entity", "term", "text_hash").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("texts"))
-    pairs = scratch.keep(pairs.where(F.col("texts") >= support), "pairs")
+    near = scratch.keep(base.mapInArrow(near_batches, "entity long, term long, context long"), "near")
+    pairs = near.where("term is not null").groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("contexts"))
+    pairs = scratch.keep(pairs.where(F.col("contexts") >= support), "pairs")
     wanted = sent_hashes(pairs, "term", sent)
     if wanted is not None and not len(wanted):
         return pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
@@ -258,14 +304,25 @@ def sanitise(text: str, spans: list[tuple[int, int, int]], removed: set[int]) ->
     return "".join([*out, text[at:]])
 
 
+def hits_of(keys: np.ndarray, known: np.ndarray, shares: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers, ascending, whose key is known, with the largest share of each. keys: of the tokens `token`."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    hit = np.flatnonzero(known[at] == keys)
+    token, share = token[hit], shares[at[hit]]
+    order = np.lexsort((-share, token))
+    token, share = token[order], share[order]
+    first = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, dtype=bool)
+    return token[first], share[first]
+
+
 def mark_batches(batches: Iterator[pa.RecordBatch], sent: tuple[np.ndarray, np.ndarray] | None, texts: bool) -> Iterator[pa.RecordBatch]:
     """Spans of each document. Disclosing terms and their shares are `sent`, or come with each row."""
     for batch in batches:
-        for c in chunks(batch.column("text"), kinds=TOKENS):
+        for c in chunks(batch.column("text"), kinds=TERMS):
             docs = c.hi - c.lo
             known, shares = sent if sent is not None else (np.zeros(0, dtype=np.uint64), np.zeros(0))
-            hits = np.zeros(0, dtype=np.int64)
-            sure = np.zeros(0)
+            hits, sure = np.zeros(0, dtype=np.int64), np.zeros(0)
             if sent is None:
                 own = batch.column("terms").slice(c.lo, docs)
                 values = own.flatten()
@@ -274,17 +331,13 @@ def mark_batches(batches: Iterator[pa.RecordBatch], sent: tuple[np.ndarray, np.n
                 order = np.argsort(keys)
                 known, shares = keys[order], values.field("share").to_numpy(zero_copy_only=False)[order]
             if len(known):
-                h, usable = terms(c)
+                token, h = occurrences(c)
                 if sent is None:
-                    doc = np.repeat(np.arange(docs), np.diff(c.first))
-                    h = mix(h ^ mix(doc.astype(np.uint64)))
-                at = np.searchsorted(known, h)
-                at[at == len(known)] = 0
-                hits = np.flatnonzero(usable & (known[at] == h))
-                sure = shares[at[hits]]
+                    h = mix(h ^ mix((np.searchsorted(c.first, token, side="right") - 1).astype(np.uint64)))
+                hits, sure = hits_of(h, known, shares, token)
             bounds = np.searchsorted(hits, c.first)
             based = set(may_have_spans(c).tolist())
-            counts = np.zeros((docs, 4), dtype=np.int64)
+            counts = np.zeros((docs, 6), dtype=np.int64)
             shas, written, clean = [], [], []
             empty = hashlib.sha256(b"").hexdigest()
             for i in range(docs):
@@ -297,17 +350,18 @@ def mark_batches(batches: Iterator[pa.RecordBatch], sent: tuple[np.ndarray, np.n
                     continue
                 text = text_at(c, i)
                 spans = spans_of(c, i, text if i in based else None, own_hits)
-                base = [x for x in spans if x[1] < 4]
-                for _, k, _ in base:
+                for _, k, _ in spans:
                     counts[i, k] += 1
-                shas.append(hashlib.sha256(write_spans(base).encode()).hexdigest())
+                shas.append(hashlib.sha256(write_spans([x for x in spans if x[1] < 4]).encode()).hexdigest())
                 written.append(write_spans(spans))
                 if texts:
                     place = byte_places(c, i)
                     removed = set(np.searchsorted(place, c.start[own_hits[sure[bounds[i] : bounds[i + 1]] >= REMOVE_SHARE]]).tolist())
                     clean.append(sanitise(text, spans, removed))
-            columns = [batch.column("doc_id").slice(c.lo, docs), *(pa.array(counts[:, k]) for k in range(4)), pa.array(shas, pa.string()), pa.array(written, pa.string())]
-            names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans"]
+            counts[:, 5] = counts[:, :5].sum(axis=1)
+            numbers = [pa.array(counts[:, k]) for k in range(6)]
+            columns = [batch.column("doc_id").slice(c.lo, docs), *numbers[:4], pa.array(shas, pa.string()), pa.array(written, pa.string()), *numbers[4:]]
+            names = ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base_sha256", "spans", "n_term", "n_spans"]
             if texts:
                 columns.append(pa.array(clean, pa.string()))
                 names.append("sanitised")
@@ -317,7 +371,7 @@ def mark_batches(batches: Iterator[pa.RecordBatch], sent: tuple[np.ndarray, np.n
 def term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with its number and the distinct terms of its text."""
     for batch in batches:
-        for c in chunks(batch.column("text"), kinds=TOKENS):
+        for c in chunks(batch.column("text"), kinds=TERMS):
             doc, h = distinct_terms(c)
             order = np.argsort(doc, kind="stable")
             docs = c.hi - c.lo
@@ -326,12 +380,12 @@ def term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def private_spans(docs: DataFrame, support: int = SUPPORT, share: float = SHARE, bits: float = BITS, sent: int = SENT, texts: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; with `texts` also sanitised."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_spans; with `texts` also sanitised."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "pii")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + (", sanitised string" if texts else "")
+    out = f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, n_spans long" + (", sanitised string" if texts else "")
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     told = disclosing_terms(docs, scratch, support, share, bits, sent)
     wanted = sent_hashes(told, "term", sent)
