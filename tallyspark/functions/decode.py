@@ -34,22 +34,26 @@ SNAKE_DETAIL = _struct(
 )
 FAILURE = _struct(status_code=T.IntegerType(), StatusCode=T.IntegerType(), body=_S)
 SNAKE = _struct(
-    **{n: _S for n in NAMES}, base_url=_S, stream=_B, streaming=_B, generate=_B, failed=_B, failure=FAILURE, detail=SNAKE_DETAIL,
+    **{n: _S for n in NAMES}, base_url=_S, baseURL=_S, stream=_B, streaming=_B, generate=_B, failed=_B, failure=FAILURE, detail=SNAKE_DETAIL,
     requested_at=_S, requested_at_ms=_S, RequestedAt=_S, RequestedAtMs=_S,
     latency=_S, latency_ms=_S, LatencyMs=_S, ttft=_S, ttft_ms=_S, TTFTMs=_S, _corrupt_record=_S,
 )
-LEGACY = _struct(**{PASCAL[n]: _S for n in NAMES}, BaseURL=_S, Stream=_B, Streaming=_B, Generate=_B, Failed=_B, Failure=FAILURE, Detail=SNAKE_DETAIL, Latency=_S, TTFT=_S)
+LEGACY = _struct(**{PASCAL[n]: _S for n in NAMES}, BaseURL=_S, Stream=_B, Streaming=_B, Generate=_B, Failed=_B, Failure=FAILURE, Detail=SNAKE_DETAIL, Latency=_S, TTFT=_S, _corrupt_record=_S)
+
+
+_BAD = "_corrupt_record"
 
 
 def parse_record(raw: Column) -> tuple[Column, Column]:
     """The record by both schemas; fields that are missing are null."""
-    return F.from_json(raw, SNAKE, {"columnNameOfCorruptRecord": "_corrupt_record"}), F.from_json(raw, LEGACY)
+    return tuple(F.from_json(raw, schema, {"columnNameOfCorruptRecord": _BAD}) for schema in (SNAKE, LEGACY))
 
 
-def is_malformed(raw: Column) -> Column:
-    """Records that aren't JSON objects or have a field of a wrong type."""
-    parsed = F.from_json(raw, SNAKE, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return parsed.isNull() | parsed["_corrupt_record"].isNotNull() | ~F.coalesce(F.ltrim(raw).startswith("{"), F.lit(False))
+def is_malformed(raw: Column, snake: Column | None = None, legacy: Column | None = None) -> Column:
+    """Records that aren't JSON objects or have a field of a wrong type in either dialect. The parsed structs are taken if given."""
+    if snake is None or legacy is None:
+        snake, legacy = parse_record(raw)
+    return snake.isNull() | snake[_BAD].isNotNull() | legacy[_BAD].isNotNull() | ~F.coalesce(F.ltrim(raw).startswith("{"), F.lit(False))
 
 
 def first_nonzero(*values: Column) -> Column:
@@ -133,11 +137,15 @@ def decode_failure(raw: Column, snake: Column, legacy: Column) -> dict[str, Colu
     return {"status_code": F.when(empty, s2).otherwise(s1), "failure": F.when(empty, b2).otherwise(b1)}
 
 
-def decode_record(raw: Column) -> dict[str, Column]:
-    """Fields of a usage record: names, flags, requested_at_ms (null if missing), latency_ns, ttft_ns, status, tokens."""
-    snake, legacy = parse_record(raw)
+def decode_record(raw: Column, snake: Column, legacy: Column) -> dict[str, Column]:
+    """Fields of a usage record: names, flags, requested_at_ms (null if missing), latency_ns, ttft_ns, status, tokens.
+
+    snake, legacy: the parsed structs as columns of a projection of their own, so that a record is
+    parsed once by each schema however many fields are read.
+    """
     true = lambda *cs: F.greatest(*[F.coalesce(c, F.lit(False)) for c in cs])
     out = {n: text(first_filled(snake[n], legacy[PASCAL[n]])) for n in NAMES}
+    out["base_url"] = text(first_filled(snake["base_url"], snake["baseURL"], legacy["BaseURL"]))
     out["stream"] = true(snake["stream"], snake["streaming"], legacy["Stream"], legacy["Streaming"])
     out["generate"] = true(snake["generate"], legacy["Generate"])
     out["failed"] = true(snake["failed"], legacy["Failed"])

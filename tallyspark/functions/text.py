@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space and control characters, as character classes. Fixed values.
-WHITE = r"\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-CONTROL = r"\u0000-\u001F\u007F-\u009F"
+def _chars(*spans: int | tuple[int, int]) -> str:
+    return "".join(chr(c) for x in spans for c in (range(x[0], x[1] + 1) if isinstance(x, tuple) else (x,)))
+
+
+#: Unicode white space and control characters. Fixed values.
+WHITE = _chars((0x09, 0x0D), 0x20, 0x85, 0xA0, 0x1680, (0x2000, 0x200A), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+CONTROL = _chars((0x00, 0x1F), (0x7F, 0x9F))
 DIMENSION_BYTES = 160
 ENDPOINT_BYTES = 256
 FAILURE_BYTES = 512
@@ -26,11 +30,11 @@ def text(c: Column) -> Column:
 
 def trim(c: Column) -> Column:
     """Strips Unicode white space from both ends."""
-    return F.regexp_replace(text(c), rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.btrim(text(c), F.lit(WHITE))
 
 
 def strip_controls(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{CONTROL}]", "")
+    return F.translate(c, CONTROL, "")
 
 
 def _valid_bytes(c: Column, limit: int) -> tuple[Column, Column]:

@@ -23,11 +23,18 @@ SHOWN = ("requests", "successes", "failures", *TOKENS)
 def level_one(rollups: DataFrame, rng: TimeRange, key: str, **equal: str) -> DataFrame:
     """Sums by key, provider and model with the largest label."""
     if key not in DIMENSIONS or any(k not in (*DIMENSIONS, *DIMENSIONS.values()) for k in equal):
-        raise ValueError("unsupported statistics dimension")
+        raise ValueError(f"no statistics by {key}")
     rows = rollups_in(rollups, rng, **equal).withColumns({"_key": F.col(key), "_label": F.col(DIMENSIONS[key])})
     return rows.groupBy(F.col("_key").alias("key"), "provider", "model").agg(F.max("_label").alias("label"), *[F.sum(m).alias(m) for m in SUMS])
 
 
+def level_one_by(rollups: DataFrame, rng: TimeRange, keys: dict[str, str]) -> DataFrame:
+    """The same of several dimensions (kind: key) from one scan, with their kinds: each row is counted once for each before the shuffle."""
+    each = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(DIMENSIONS[key]).alias("_label")) for kind, key in keys.items()]))
+    rows = rollups_in(rollups, rng).select(each, "provider", "model", *SUMS)
+    return rows.groupBy("kind", "key", "provider", "model").agg(F.max("_label").alias("label"), *[F.sum(m).alias(m) for m in SUMS])
+
+
 def level_two(costed: DataFrame, by: list[str]) -> DataFrame:
     """Level-one rows with costs, added up by `by`; the name is the label of the first provider and model."""
     first = F.struct("provider", "model")
@@ -41,12 +48,12 @@ def dimension(rollups: DataFrame, prices: DataFrame, rng: TimeRange, key: str, *
     return level_two(costed, ["key", "provider"] if key == "source" else ["key"])
 
 
-def present(stats: DataFrame) -> DataFrame:
-    """Ranked by requests, then stored name, then key; rounded rates."""
-    order = Window.orderBy(F.desc("requests"), "name", "key", "provider")  # over groups only
+def present(stats: DataFrame, *within: str) -> DataFrame:
+    """Ranked (within some columns) by requests, then stored name, then key; rounded rates."""
+    order = Window.partitionBy(*within).orderBy(F.desc("requests"), "name", "key", "provider")  # over groups only
     rate, latency = ratio(F.col("successes"), F.col("requests")), ratio(F.col("latency_sum_ms"), F.col("requests"))
     return stats.select(
-        F.row_number().over(order).alias("rank_no"), "key", "name", "provider", *SHOWN, rounded(F.col("cost_usd"), COST_DIGITS).alias("cost_usd"),
+        *within, F.row_number().over(order).alias("rank_no"), "key", "name", "provider", *SHOWN, rounded(F.col("cost_usd"), COST_DIGITS).alias("cost_usd"),
         rounded(rate).alias("success_rate"), rounded(latency).alias("avg_latency_ms"), "models",
     )
 
@@ -59,34 +66,31 @@ def merged_sources(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> Dat
     return merged.withColumn("key", ids.public_identifier("source", F.concat_ws("\0", "provider", "name")))
 
 
-def shown_keys(stats: DataFrame, kind: str) -> DataFrame:
-    """Presented API keys or upstreams as they are displayed: ranks keep the stored order."""
-    if kind == "api_keys":
-        public = ids.public_identifier("key", F.col("key"))
-        return stats.withColumns({"name": public, "key": public})
-    return stats.withColumn("name", ids.masked_label(F.col("provider"), F.col("name"), F.col("key")))
-
-
 def distributions(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
-    """Models, providers, API keys and merged sources in one long table with a `distribution` column."""
-    parts = {
-        "models": present(dimension(rollups, prices, rng, "model")),
-        "providers": present(dimension(rollups, prices, rng, "provider")),
-        "api_keys": shown_keys(present(dimension(rollups, prices, rng, "api_key_hash")), "api_keys"),
-        "sources": present(merged_sources(rollups, prices, rng)),
-    }
-    out = None
-    for name, rows in parts.items():
-        own = rows.select(F.lit(name).alias("distribution"), "*")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Models, providers, API keys and merged sources in one long table with a `distribution` column, from one scan."""
+    keys = {"models": "model", "providers": "provider", "api_keys": "api_key_hash", "sources": "source"}
+    costed = with_costs(level_one_by(rollups, rng, keys), prices)
+    source = F.col("kind") == "sources"
+    # sources are told apart by provider and masked name, as in merged_sources
+    group = F.when(source, ids.masked_label(F.col("provider"), F.col("label"), F.col("key"))).otherwise(F.col("key"))
+    stats = level_two(costed.withColumns({"group": group, "owner": F.when(source, F.col("provider"))}), ["kind", "group", "owner"])
+    key = F.when(source, ids.public_identifier("source", F.concat_ws("\0", "owner", "group"))).otherwise(F.col("group"))
+    stats = stats.withColumns({"key": key, "name": F.when(source, F.col("group")).otherwise(F.col("name")), "provider": F.coalesce("owner", "provider")})
+    return _shown(present(stats.withColumnRenamed("kind", "distribution"), "distribution"), "distribution")
 
 
 def interfaces(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
-    """API keys and upstreams in one long table with a `kind` column."""
-    keys = shown_keys(present(dimension(rollups, prices, rng, "api_key_hash")), "api_keys")
-    upstreams = shown_keys(present(dimension(rollups, prices, rng, "upstream_key")), "upstreams")
-    return keys.select(F.lit("api_keys").alias("kind"), "*").unionByName(upstreams.select(F.lit("upstreams").alias("kind"), "*"))
+    """API keys and upstreams in one long table with a `kind` column, from one scan."""
+    costed = with_costs(level_one_by(rollups, rng, {"api_keys": "api_key_hash", "upstreams": "upstream_key"}), prices)
+    return _shown(present(level_two(costed, ["kind", "key"]), "kind"), "kind")
+
+
+def _shown(rows: DataFrame, kind: str) -> DataFrame:
+    """Presented API keys and upstreams as they are displayed: ranks keep the stored order."""
+    c = F.col
+    public = F.when(c(kind) == "api_keys", ids.public_identifier("key", c("key")))
+    masked = F.when(c(kind) == "upstreams", ids.masked_label(c("provider"), c("name"), c("key")))
+    return rows.withColumns({"name": F.coalesce(public, masked, c("name")), "key": F.coalesce(public, c("key"))})
 
 
 def analysis_tokens(models: DataFrame) -> DataFrame:
@@ -97,7 +101,7 @@ def analysis_tokens(models: DataFrame) -> DataFrame:
 def upstream_summary(rollups: DataFrame, prices: DataFrame, rng: TimeRange, key: str) -> DataFrame:
     """One row on an upstream: display name, sums over its models, rates from exact sums."""
     if not key.strip() or len(key.encode()) > 160:
-        raise ValueError("upstream key is required")
+        raise ValueError("name an upstream by its key")
     models = dimension(rollups, prices, rng, "model", upstream_key=key)
     sums = models.agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in SUMS], F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"))
     names = rollups_in(rollups, rng, upstream_key=key).agg(F.max("source").alias("_source"), F.max("provider").alias("_provider"))

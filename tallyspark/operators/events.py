@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
-from ..functions.decode import decode_record, is_malformed
+from ..functions.decode import decode_record, is_malformed, parse_record
 from ..functions.text import clean_dimension, like_ascii, sanitize_endpoint, sanitize_failure, text, trim
 from ..sources.schema import EVENT, EVENT_COLUMNS, TOKENS
+from .ranges import DAY
 
 MS_NS = 1_000_000
 
 
 def decode_usage(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Decodes JSON usage records (malformed ones have a true `malformed` column), keeping the other columns."""
-    fields = decode_record(F.col(column))
     others = [c for c in raw.columns if c != column]
-    return raw.select(*others, is_malformed(F.col(column)).alias("malformed"), *[v.alias(k) for k, v in fields.items()])
+    snake, legacy = parse_record(F.col(column))
+    # a projection of its own: each record is parsed twice, whatever is read from it
+    parsed = raw.select(*others, F.col(column).alias("_record"), snake.alias("_snake"), legacy.alias("_legacy"))
+    record, snake, legacy = F.col("_record"), F.col("_snake"), F.col("_legacy")
+    fields = decode_record(record, snake, legacy)
+    return parsed.select(*others, is_malformed(record, snake, legacy).alias("malformed"), *[v.alias(k) for k, v in fields.items()])
 
 
 def _material(provider: Column, auth_id: Column, auth_index: Column, auth_type: Column) -> Column:
@@ -121,7 +126,14 @@ SEARCHED = ("model", "provider", "endpoint", "upstream_label", "source", "failur
 
 
 def filter_events(events: DataFrame, f: EventFilter) -> DataFrame:
+    """Events that fit; an event_date (the UTC day, by which stored events are cut) is kept and prunes folders."""
     out = events
+    if "event_date" in events.columns:
+        day = lambda ms: F.date_from_unix_date(F.lit(ms // DAY).cast("int"))
+        if f.from_ms > 0:
+            out = out.where(F.col("event_date") >= day(f.from_ms))
+        if f.to_ms > 0:
+            out = out.where(F.col("event_date") <= day(f.to_ms))
     if f.from_ms > 0:
         out = out.where(F.col("timestamp_ms") >= f.from_ms)
     if f.to_ms > 0:
@@ -179,6 +191,6 @@ def validate_backup(events: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
     blank = (trim(F.col("model")) == "") | (trim(F.col("provider")) == "") | (F.coalesce(F.col("timestamp_ms"), F.lit(0)) <= 0)
     negative = F.least(*[F.coalesce(F.col(m), F.lit(0)) for m in EVENT_MEASURES]) < 0
-    reason = F.when(blank, "invalid").when(negative, "negative measurement")
+    reason = F.when(blank, "invalid").when(negative, "a measure is negative")
     bad = events.select(F.col(ordinal).alias("n"), reason.alias("reason")).where("reason is not null")
     return bad.agg(F.min("n").alias("bad_ordinal"), F.min_by("reason", "n").alias("reason"), F.count(F.lit(1)).alias("bad_events"))

@@ -71,7 +71,7 @@ def check_prices(prices: DataFrame) -> None:
     """Raises if a price list may not be stored."""
     rows = prices.limit(MOST_PRICES + 1).count()
     if rows > MOST_PRICES:
-        raise ValueError("too many model prices")
+        raise ValueError(f"a price list may have {MOST_PRICES} models at most")
     bad = validate_prices(prices).where("reason is not null").orderBy("model").first()
     if bad is not None:
         raise ValueError(f"model price {bad['model']!r}: {bad['reason']}")

@@ -246,7 +246,7 @@ SELECT p_partkey, model, CASE WHEN model = '' THEN 'name' WHEN n > 1 THEN 'dupli
         "export_events": on_events(f"SELECT {EXPORTED} FROM (SELECT * FROM e WHERE failed ORDER BY timestamp_ms DESC, id DESC LIMIT 1000)"),
         "backup_events": on_events("SELECT *, (SELECT count(*) > 5000 FROM e) AS truncated FROM e ORDER BY timestamp_ms, id LIMIT 5000"),
         "validate_backup": on_events(
-            "SELECT min(n) AS bad_ordinal, arg_min(reason, n) AS reason, count(*) AS bad_events FROM (SELECT id + 1 AS n, CASE WHEN id % 1009 = 7 THEN 'invalid' WHEN id % 97 = 5 THEN 'negative measurement' END AS reason FROM e) WHERE reason IS NOT NULL"
+            "SELECT min(n) AS bad_ordinal, arg_min(reason, n) AS reason, count(*) AS bad_events FROM (SELECT id + 1 AS n, CASE WHEN id % 1009 = 7 THEN 'invalid' WHEN id % 97 = 5 THEN 'a measure is negative' END AS reason FROM e) WHERE reason IS NOT NULL"
         ),
         "retention_events": on_events(f"SELECT id FROM e WHERE timestamp_ms >= {NOW_MS - 10 * 86400000}"),
         "retention_rollups": query(f"SELECT minute, sum(requests)::BIGINT AS requests FROM r WHERE minute >= {(NOW_MS - 10 * 86400000) // 60000} GROUP BY minute"),

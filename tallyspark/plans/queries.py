@@ -27,6 +27,16 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage_store(spark, sf_dir).events().select(*EVENT_COLUMNS)
 
 
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with their days, on which conditions prune folders."""
+    return usage_store(spark, sf_dir).events()
+
+
+def added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rollups of each batch, for queries that add them up."""
+    return usage_store(spark, sf_dir).partial_rollups()
+
+
 def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rollups."""
     return usage_store(spark, sf_dir).rollups()
@@ -145,22 +155,26 @@ def model_sums(r: DataFrame) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     prices = usage_view.prices
     on_rollups = lambda f: lambda s, d: f(rolled(s, d), prices(s))
+    on_sums = lambda f: lambda s, d: f(added(s, d), prices(s))
+    on_dated = lambda f: lambda s, d: f(dated(s, d))
     on_events = lambda f: lambda s, d: f(stored(s, d))
     page = ev.EventFilter(from_ms=R7.from_ms, to_ms=R7.to_ms, provider="prov-1", page=3, page_size=25)
     narrow = ev.EventFilter(from_ms=R30.from_ms, to_ms=R30.to_ms, model="gemini", provider="prov-1", status="failure", upstream_key=upstream_key())
     recent = ev.EventFilter(from_ms=R30.from_ms, to_ms=R30.to_ms, upstream_key=upstream_key(), page_size=20)
-    dimension = lambda key, **equal: on_rollups(lambda r, p: dims.present(dims.dimension(r, p, R30, key, **equal)))
+    # labels of API keys and upstreams are those of the latest batch; the others are keys themselves
+    merged = lambda key: on_rollups if key in ("api_key_hash", "upstream_key") else on_sums
+    dimension = lambda key, **equal: merged(key)(lambda r, p: dims.present(dims.dimension(r, p, R30, key, **equal)))
     kinds = lambda kind: on_rollups(lambda r, p: dims.interfaces(r, p, R30).where(F.col("kind") == kind))
     of = lambda f, g: lambda s, d: f(g(s, d))
     token_names = {"input_tokens": "input", "output_tokens": "output", "cache_read_tokens": "cache_read", "cache_creation_tokens": "cache_write", "reasoning_tokens": "reasoning"}
-    tokens = on_rollups(lambda r, p: dims.analysis_tokens(dims.dimension(r, p, R30, "model")))
+    tokens = on_sums(lambda r, p: dims.analysis_tokens(dims.dimension(r, p, R30, "model")))
     return {
-        "summary_kpi": on_rollups(lambda r, p: trends.summary_kpi(r, p, R30)),
-        "range_24h": on_rollups(lambda r, p: trends.summary_kpi(r, p, R24)),
-        "range_7d": on_rollups(lambda r, p: trends.summary_kpi(r, p, R7)),
-        "range_30d": on_rollups(lambda r, p: trends.summary_kpi(r, p, R30)),
-        "range_all": on_rollups(lambda r, p: trends.summary_kpi(r, p, ALL)),
-        "range_custom": on_rollups(lambda r, p: trends.summary_kpi(r, p, R_CUSTOM)),
+        "summary_kpi": on_sums(lambda r, p: trends.summary_kpi(r, p, R30)),
+        "range_24h": on_sums(lambda r, p: trends.summary_kpi(r, p, R24)),
+        "range_7d": on_sums(lambda r, p: trends.summary_kpi(r, p, R7)),
+        "range_30d": on_sums(lambda r, p: trends.summary_kpi(r, p, R30)),
+        "range_all": on_sums(lambda r, p: trends.summary_kpi(r, p, ALL)),
+        "range_custom": on_sums(lambda r, p: trends.summary_kpi(r, p, R_CUSTOM)),
         "decode_usage": lambda s, d: decoded(s, d).select(
             "id", "provider", "model", "endpoint", "source", "api_key", "auth_id", "auth_index", "auth_type", (F.col("generate") | F.col("stream")).alias("streamed"), "failed", "requested_at_ms", "latency_ns", "ttft_ns"
         ),
@@ -175,17 +189,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "uncached_input": on_events(ev.uncached_input),
         "minute_rollup": on_events(rollups.minute_rollup),
         "merge_rollups": split_rollups,
-        "bucket_model_aggregate": on_rollups(lambda r, p: rollups.bucket_model(r, R30)),
+        "bucket_model_aggregate": on_sums(lambda r, p: rollups.bucket_model(r, R30)),
         "price_list": of(pricing.price_list, part_prices),
         "validate_prices": lambda s, d: pricing.validate_prices(submitted_prices(s, d)).select("p_partkey", "model", "reason"),
-        "price_resolution": on_rollups(lambda r, p: pricing.resolve_prices(model_sums(r), p).select("model", "price_match", *RATES)),
-        "cost_by_model": on_rollups(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("cost_usd", 9).alias("cost_usd"))),
-        "standard_cost": on_rollups(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("standard_cost_usd", 9).alias("standard_cost_usd"))),
-        "export_events": on_events(lambda e: ev.export_events(e, ev.EventFilter(status="failure"), 1000)),
+        "price_resolution": on_sums(lambda r, p: pricing.resolve_prices(model_sums(r), p).select("model", "price_match", *RATES)),
+        "cost_by_model": on_sums(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("cost_usd", 9).alias("cost_usd"))),
+        "standard_cost": on_sums(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("standard_cost_usd", 9).alias("standard_cost_usd"))),
+        "export_events": on_dated(lambda e: ev.export_events(e, ev.EventFilter(status="failure"), 1000)),
         "backup_events": on_events(lambda e: ev.backup_events(e, 5000)),
         "validate_backup": of(ev.validate_backup, backup_candidates),
         "retention_events": on_events(lambda e: rollups.surviving_events(e, 10, NOW_MS).select("id")),
-        "retention_rollups": on_rollups(lambda r, p: rollups.surviving_rollups(r, 10, NOW_MS).groupBy("minute").agg(F.sum("requests").alias("requests"))),
+        "retention_rollups": on_sums(lambda r, p: rollups.surviving_rollups(r, 10, NOW_MS).groupBy("minute").agg(F.sum("requests").alias("requests"))),
         "table_status": lambda s, d: rollups.table_status(stored(s, d), rolled(s, d)),
         "hmac_pseudonym": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", identity.short_hmac(F.col("c_name"), identity.SALT).alias("pseudonym")),
         "public_identifier": lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", identity.public_identifier("key", F.when(F.col("s_suppkey") % 7 == 0, " ").otherwise(F.col("s_name"))).alias("public_id")),
@@ -194,26 +208,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sanitize_failure": lambda s, d: dirty_values(s, d, 40).select("c_custkey", text.sanitize_failure(F.col("v")).alias("cleaned")),
         "sanitize_endpoint": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.sanitize_endpoint(F.col("url")).alias("path")),
         "masked_upstream_label": legacy_labels,
-        "filter_events": on_events(lambda e: ev.filter_events(e, narrow)),
+        "filter_events": on_dated(lambda e: ev.filter_events(e, narrow).select(*EVENT_COLUMNS)),
         "search_events": on_events(lambda e: ev.filter_events(e, ev.EventFilter(search="GPT_5")).select("id")),
-        "events_page": on_events(lambda e: ev.events_page(e, page)),
-        "events_page_meta": on_events(lambda e: ev.events_page_meta(e, page)),
-        "upstream_recent_events": on_events(lambda e: ev.events_page(e, recent)),
-        "trend": on_rollups(lambda r, p: trends.trend(r, p, R30)),
-        "trend_dense": on_rollups(lambda r, p: trends.trend_dense(r, p, R24).select(F.lit("24h").alias("range_label"), "*")),
-        "trend_dense_custom": on_rollups(lambda r, p: trends.trend_dense(r, p, R_CUSTOM)),
-        "trend_nonempty": on_rollups(lambda r, p: trends.trend_nonempty(trends.trend_dense(r, p, R_CUSTOM))),
-        "sparkline": on_rollups(lambda r, p: trends.sparkline(trends.trend_dense(r, p, R24), "requests")),
-        "health_grid": on_rollups(lambda r, p: trends.health_grid(r, NOW_MS)),
-        "health_levels": on_rollups(lambda r, p: trends.health_levels(trends.health_grid(r, NOW_MS))),
-        "health_totals": on_rollups(lambda r, p: trends.health_totals(trends.health_grid(r, NOW_MS))),
+        "events_page": on_dated(lambda e: ev.events_page(e, page)),
+        "events_page_meta": on_dated(lambda e: ev.events_page_meta(e, page)),
+        "upstream_recent_events": on_dated(lambda e: ev.events_page(e, recent)),
+        "trend": on_sums(lambda r, p: trends.trend(r, p, R30)),
+        "trend_dense": on_sums(lambda r, p: trends.trend_dense(r, p, R24).select(F.lit("24h").alias("range_label"), "*")),
+        "trend_dense_custom": on_sums(lambda r, p: trends.trend_dense(r, p, R_CUSTOM)),
+        "trend_nonempty": on_sums(lambda r, p: trends.trend_nonempty(trends.trend_dense(r, p, R_CUSTOM))),
+        "sparkline": on_sums(lambda r, p: trends.sparkline(trends.trend_dense(r, p, R24), "requests")),
+        "health_grid": on_sums(lambda r, p: trends.health_grid(r, NOW_MS)),
+        "health_levels": on_sums(lambda r, p: trends.health_levels(trends.health_grid(r, NOW_MS))),
+        "health_totals": on_sums(lambda r, p: trends.health_totals(trends.health_grid(r, NOW_MS))),
         "dimension_level1": on_rollups(lambda r, p: dims.level_one(r, R30, "upstream_key")),
         "dim_model": dimension("model"),
         "dim_provider": dimension("provider"),
         "dim_api_key": dimension("api_key_hash"),
         "dim_source": dimension("source"),
         "dim_upstream": dimension("upstream_key"),
-        "dim_source_merged": on_rollups(lambda r, p: dims.present(dims.merged_sources(r, p, R30))),
+        "dim_source_merged": on_sums(lambda r, p: dims.present(dims.merged_sources(r, p, R30))),
         "analysis_distributions": on_rollups(lambda r, p: dims.distributions(r, p, R30)),
         "analysis_tokens": tokens,
         "token_composition": lambda s, d: trends.token_composition(tokens(s, d).select(*[F.col(k).alias(v) for k, v in token_names.items()])),
@@ -225,5 +239,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "upstream_share": of(dims.shares, kinds("upstreams")),
         "upstream_status": of(dims.status_bands, kinds("upstreams")),
         "upstream_detail_models": dimension("model", upstream_key=upstream_key()),
-        "upstream_summary": on_rollups(lambda r, p: dims.upstream_summary(r, p, R30, upstream_key())),
+        "upstream_summary": on_sums(lambda r, p: dims.upstream_summary(r, p, R30, upstream_key())),
     }

@@ -2,13 +2,14 @@
 
 A batch writes its events and its rollups to folders of its own and then a commit file;
 readers see committed batches only, so both land together or not at all, and writing a batch
-again replaces it. Folders are cut by event_date (UTC), on which ranges prune. Rollups of
-batches are partial and are added up when read. `state.json` names the generation of the
-tables and the version of the prices: restore and compaction write a new generation beside
-the old one and then move that pointer. Retention is a horizon in the state that readers
+again replaces it. Folders are cut by event_date (UTC), on which ranges prune; how many files
+a day gets follows its size. Rollups of batches are partial and are added up when read. The
+`state-<n>.json` of the largest number names the generation of the tables and the version of
+the prices: restore and compaction write a new generation beside the old one and then a new
+state, so what is read is the old or the new tables, also if the writer is lost in between. Retention is a horizon in the state that readers
 apply, and folders of days wholly before it are deleted.
 
-  root/state.json
+  root/state-<n>.json
   root/gen-<g>/commits/<batch>.json
   root/gen-<g>/events/batch=<batch>/event_date=<date>/*.parquet
   root/gen-<g>/rollups/batch=<batch>/event_date=<date>/*.parquet
@@ -41,7 +42,7 @@ class UsageTables:
         self.files = Files(spark, self.root)
 
     def state(self) -> dict:
-        return self.files.read("state.json") if self.files.exists("state.json") else {"generation": 0, "prices": 0, "horizon_ms": None}
+        return self.files.latest("state") or {"generation": 0, "prices": 0, "horizon_ms": None}
 
     def _folder(self, name: str, generation: int | None = None) -> str:
         g = self.state()["generation"] if generation is None else generation
@@ -61,12 +62,13 @@ class UsageTables:
         rows = events if normalized else ev.normalize_events(events, self.salt)
         day = F.to_date(F.timestamp_millis("timestamp_ms"))
         to = f"{self.root}/{self._folder(f'events/batch={batch}', g)}"
-        rows.select(*EVENT_COLUMNS, day.alias("event_date")).repartition("event_date", F.pmod(F.xxhash64("upstream_key", "id"), F.lit(8))).sortWithinPartitions("timestamp_ms").write.mode("overwrite").partitionBy("event_date").parquet(to)
+        # rebalancing splits a large day and merges small ones by their sizes
+        rows.select(*EVENT_COLUMNS, day.alias("event_date")).hint("rebalance", "event_date").sortWithinPartitions("event_date", "timestamp_ms").write.mode("overwrite").partitionBy("event_date").parquet(to)
         # the rollups are of what was written, so both tables agree even if the source would not give the same rows again
         written = self.spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])).parquet(to)
         own = rollups.minute_rollup(written)
         day = F.date_from_unix_date(F.expr("cast(minute div 1440 as int)"))
-        own.withColumn("event_date", day).repartition("event_date").sortWithinPartitions("minute", "upstream_key").write.mode("overwrite").partitionBy("event_date").parquet(f"{self.root}/{self._folder(f'rollups/batch={batch}', g)}")
+        own.withColumn("event_date", day).hint("rebalance", "event_date").sortWithinPartitions("event_date", "minute", "upstream_key").write.mode("overwrite").partitionBy("event_date").parquet(f"{self.root}/{self._folder(f'rollups/batch={batch}', g)}")
         done = {"batch": batch, "events": written.count(), "written_ms": int(time.time() * 1000), "took_ms": int((time.time() - began) * 1000)} | (facts or {})
         self.files.write(commit, done)
         return done
@@ -92,14 +94,18 @@ class UsageTables:
         columns = [*EVENT_COLUMNS, "event_date", *(["batch"] if with_batch else [])]
         return out.withColumns(blank).select(*columns)
 
-    def rollups(self) -> DataFrame:
-        """Rollups added up over batches. The horizon's minute is kept as a whole."""
+    def partial_rollups(self) -> DataFrame:
+        """Rollups as the batches wrote them, several rows for a key: for all that adds up measures and needs no labels. The horizon's minute is kept as a whole."""
         out = self._read("rollups", ROLLUP_SCHEMA)
         horizon = self.state()["horizon_ms"]
         if horizon is not None:
             first = F.date_from_unix_date(F.lit(horizon // DAY).cast("int"))
             out = out.where((F.col("minute") >= horizon // MINUTE) & (F.col("event_date") >= first))
-        return rollups.merge_rollups(out, order="batch")
+        return out
+
+    def rollups(self) -> DataFrame:
+        """Rollups added up over batches, with the labels of the latest."""
+        return rollups.merge_rollups(self.partial_rollups(), order="batch")
 
     # prices
 
@@ -117,7 +123,7 @@ class UsageTables:
         state = self.state()
         version = state["prices"] + 1
         self._write_prices(prices, version, int(time.time() * 1000) if now_ms is None else now_ms)
-        self.files.write("state.json", state | {"prices": version})
+        self.files.advance("state", state | {"prices": version})
 
     # upkeep
 
@@ -126,7 +132,7 @@ class UsageTables:
             raise ValueError("retention is 1 to 3650 days")
         horizon = now_ms - days * DAY
         state = self.state()
-        self.files.write("state.json", state | {"horizon_ms": max(horizon, state["horizon_ms"] or horizon)})
+        self.files.advance("state", state | {"horizon_ms": max(horizon, state["horizon_ms"] or horizon)})
         limit = time.strftime("%Y-%m-%d", time.gmtime(horizon / 1000))
         for name in ("events", "rollups"):
             for batch in self.files.names(self._folder(name)):
@@ -139,7 +145,7 @@ class UsageTables:
         g = old["generation"] + 1
         self.files.delete(f"gen-{g}")
         self.write_batch(events, batch, g, normalized)
-        self.files.write("state.json", old | {"generation": g} | state)
+        self.files.advance("state", old | {"generation": g} | state)
 
     def compact(self) -> None:
         """Rewrites all batches as one. Run it between batches, not beside a writer."""
@@ -148,10 +154,10 @@ class UsageTables:
     def restore(self, events: DataFrame, prices: DataFrame, version: int = 1, most: int = MOST_RESTORED, now_ms: int | None = None) -> dict:
         """Validates a backup, then replaces events, rollups and prices at once. events: event columns and `ordinal`."""
         if version != 1:
-            raise ValueError("unsupported backup version")
+            raise ValueError(f"backups of version {version} are not known")
         found = ev.validate_backup(events).crossJoin(events.agg(F.count(F.lit(1)).alias("events"))).first()  # two single rows
         if found["events"] > most:
-            raise ValueError("backup contains too many events")
+            raise ValueError(f"a backup may hold {most} events at most")
         if found["bad_ordinal"] is not None:
             raise ValueError(f"event {found['bad_ordinal']}: {found['reason']}")
         v = self.state()["prices"] + 1
@@ -190,5 +196,8 @@ class UsageTables:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """An export as a folder of CSV files with header lines."""
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    """An export, which has a bounded number of rows, as one CSV file in a folder: UTF-8 with a byte order mark, a header line, quotes doubled."""
+    first, *others = rows.columns
+    marked = rows.select(F.col(first).alias("\ufeff" + first), *others)
+    options = {"header": True, "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8"}
+    marked.coalesce(1).write.mode("overwrite").options(**options).csv(path)

@@ -14,8 +14,9 @@ from ..operators import events as ev
 from ..sources.schema import TOKENS
 from ..sources.tables import UsageTables
 
-#: Bits of an event id for the partition and the row within a batch.
-PARTITION_BITS, ROW_BITS = 10, 33
+#: Bits of an event id for the partition and the row within a batch; 31 are left for the batch.
+PARTITION_BITS, ROW_BITS = 11, 21
+BATCH_BITS = 63 - PARTITION_BITS - ROW_BITS
 
 
 def record_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
@@ -25,9 +26,14 @@ def record_stream(spark: SparkSession, path: str, max_files: int = 64) -> DataFr
 
 def batch_events(raw: DataFrame, batch_id: int, salt: str, ingest_ms: int) -> DataFrame:
     """Records as normalised events with a `malformed` flag and the raw text of malformed ones."""
-    # arrival order within the batch: the batch number, then partition and row
+    if not 0 <= batch_id < 1 << BATCH_BITS:
+        raise ValueError(f"batch {batch_id} is beyond the range of event ids")
+    # arrival order: the batch number, then partition and row, each in bits of its own
     position = F.monotonically_increasing_id()
-    numbered = raw.withColumn("id", position + F.lit(batch_id << (PARTITION_BITS + ROW_BITS)).cast("long"))
+    row = position.bitwiseAND(F.lit((1 << 33) - 1))
+    place = F.shiftleft(F.shiftright(position, 33), ROW_BITS).bitwiseOR(row)
+    checked = F.when(row < 1 << ROW_BITS, place).otherwise(F.raise_error(F.lit(f"a partition of a batch has more than {1 << ROW_BITS} records: take fewer files at a time")).cast("long"))
+    numbered = raw.coalesce(1 << PARTITION_BITS).withColumn("id", checked + F.lit(batch_id << (PARTITION_BITS + ROW_BITS)).cast("long"))
     return ev.decode_usage(numbered.withColumn("_raw", F.col("raw")))
 
 
@@ -36,6 +42,14 @@ def write_micro_batch(tables: UsageTables, dead_letters: str, clock: Callable[[]
 
     def write(raw: DataFrame, batch_id: int) -> None:
         now = int(clock() * 1000)
+        try:
+            _write(raw, batch_id, now)
+        except Exception as e:
+            # the stream ends here and takes the batch again when it is started; what failed is counted
+            tables.files.write(f"failures/{batch_id:012d}-{now}.json", {"batch": batch_id, "at_ms": now, "error": str(e)[:300]})
+            raise
+
+    def _write(raw: DataFrame, batch_id: int, now: int) -> None:
         decoded = batch_events(raw, batch_id, tables.salt, now)
         bad = decoded.where("malformed").select(F.col("_raw").alias("raw"))
         bad.write.mode("overwrite").text(f"{dead_letters}/batch={batch_id}")
@@ -54,11 +68,11 @@ def ingest_stream(records: DataFrame, tables: UsageTables, checkpoint: str, dead
 
 
 def ingest_metrics(tables: UsageTables) -> dict:
-    """Counters over the committed batches: accepted, dropped, batches, and size and time of the last one."""
+    """Counters over the committed batches: accepted, dropped, batches, and size and time of the last one; and writes that failed."""
     commits = [tables.files.read(tables._folder(f"commits/{b}.json")) for b in tables.batches()]
     last = max(commits, key=lambda c: c["written_ms"], default={})
     return {
-        "accepted": sum(c["events"] for c in commits), "dropped": sum(c.get("dropped", 0) for c in commits), "batches": len(commits),
+        "accepted": sum(c["events"] for c in commits), "dropped": sum(c.get("dropped", 0) for c in commits), "batches": len(commits), "write_failures": len(tables.files.names("failures")),
         "last_batch_events": last.get("events", 0), "last_batch_ms": last.get("took_ms", 0),
     }
 
