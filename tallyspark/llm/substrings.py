@@ -9,6 +9,11 @@ a right one, and each left-right pair becomes one symbol); later rounds name pai
 Names are hashes of what they stand for, so equal symbols have equal names in all
 documents without any exchange, and whether symbols join depends on their neighbours
 alone: inside two equal passages the symbols are the same but for a margin at both ends.
+The rounds stop after one of runs and two of pairs, and they run inside the tasks: hash names
+need no exchange of a dictionary between rounds, and longer symbols would need a longer
+margin (it doubles with each round), which a window of 35 words doesn't have. So symbols
+reveal where equal passages may be (the anchors), and the repeats themselves are told by
+hashes of the words around the anchors, not by one symbol that spans them.
 With the rounds used here a symbol spans at most LENGTH = 8 words and the margin is
 MARGIN = 8 words: whether a word begins a run depends on 2 words to either side, a pair
 of the first round on one more symbol of at most 2 words and one of the second round on
@@ -22,13 +27,18 @@ with the smallest hash.
    place's name. One row per place goes to its name, with a 64-bit hash of the whole span of
    words that its windows cover, the document, and where the windows begin. Places with equal names
    and spans repeat in all their windows, which settles long repeats a place at a time.
+   Misra-Gries summaries of the tasks find the names and the (name, span) pairs of more than
+   2 / (HEAVY + 1) of all places; at most HEAVY + 1 of each are broadcast. Places of a frequent
+   pair repeat for certain and go to any task; one example of the pair stands for it in step 2.
+   Other places of a frequent name are dealt by name and span, all others by name, so no task
+   gathers what is frequent.
 2. A name with a single span can't hide further repeats. For other names the windows of
-   single places, and of one place for each repeated span, are verified one by one: 128-bit
-   hashes of their words are counted over all documents.
+   single places, and of one place for each repeated span, are verified one by one: pairs
+   of 64-bit hashes of their words, of two seeds, are counted over all documents.
 3. Repeated windows go back to their documents, which drop the words they cover.
 
 A window's words are never sent; a document's marks are bounded by its own length.
-Documents are known by id and 32 bits of a hash of the text, so ids may repeat. Null and
+Documents are known by id and a 64-bit hash of the text, so ids may repeat. Null and
 empty texts have no words and no windows. Repeated rows are copies of each other, also
 when their ids are equal. An empty table gives an empty result.
 """
@@ -36,7 +46,7 @@ when their ids are equal. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +58,7 @@ from .common import Chunk, Scratch, as_long, chunks, lists, mix, ship, text_of
 WIDTH = 35
 LENGTH = 8
 MARGIN = 8
+HEAVY = 1024
 
 _RUN = np.uint64(0x52554E)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -155,6 +166,55 @@ def place_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(c.lo, docs) for n in ("doc_id", "text_hash")), *rows], ["doc_id", "text_hash", "name", "span", "place"])
 
 
+class Frequent:
+    """A Misra-Gries summary of keys, each with what `row_of` gave for one of its occurrences."""
+
+    def __init__(self, counters: int):
+        self.counters = counters
+        self.keys, self.counts, self.rows = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), []
+
+    def add(self, keys: np.ndarray, row_of: Callable[[int], tuple]) -> None:
+        found, at, n = np.unique(keys, return_index=True, return_counts=True)
+        held = len(self.keys)
+        keys, first, which = np.unique(np.concatenate([self.keys, found]), return_index=True, return_inverse=True)
+        counts = np.bincount(which, weights=np.concatenate([self.counts, n]), minlength=len(keys)).astype(np.int64)
+        if len(keys) > self.counters:
+            # take away the (counters + 1)-th largest count from all, as so many single decrements would
+            counts -= np.partition(counts, len(counts) - 1 - self.counters)[len(counts) - 1 - self.counters]
+            left = counts > 0
+            keys, first, counts = keys[left], first[left], counts[left]
+        self.rows = [self.rows[i] if i < held else row_of(int(at[i - held])) for i in first.tolist()]
+        self.keys, self.counts = keys, counts
+
+
+def frequent_batches(batches: Iterator[pa.RecordBatch], width: int, counters: int) -> Iterator[pa.RecordBatch]:
+    """A task's frequent names (name, null span, seen) and pairs (name, span, seen, and the place of one), and the number of its places with a null name."""
+    names, pairs, total, kind = Frequent(counters), Frequent(counters), 0, pa.int64()
+    for batch in place_batches(batches, width):
+        docs, hashes, kind = batch.column("doc_id"), batch.column("text_hash"), batch.schema.field("doc_id").type
+        owner = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("name").value_lengths()))
+        name, span, place = (batch.column(n).flatten().to_numpy(zero_copy_only=False) for n in ("name", "span", "place"))
+        total += len(name)
+        names.add(name.view(np.uint64), lambda i: (int(name[i]), None, None, None, None))
+        pairs.add(mix(name.view(np.uint64) ^ mix(span.view(np.uint64))), lambda i: (int(name[i]), int(span[i]), docs[int(owner[i])].as_py(), hashes[int(owner[i])].as_py(), int(place[i])))
+    if not total:
+        return
+    rows = [*names.rows, *pairs.rows, (None, None, None, None, None)]
+    columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), kind, pa.int64(), pa.int64()), strict=True)]
+    seen = pa.array([*names.counts.tolist(), *pairs.counts.tolist(), total], pa.int64())
+    yield pa.RecordBatch.from_arrays([*columns, seen], ["name", "span", "doc_id", "text_hash", "place", "seen"])
+
+
+def frequent_places(base: DataFrame, scratch: Scratch, width: int, counters: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Frequent names (name), and frequent pairs (name, span, example): every one of more than 2 / (counters + 1) of all places, at most counters + 1 of each and the pairs' names."""
+    columns = f"name long, span long, doc_id {kind}, text_hash long, place long, seen long"
+    found = base.mapInArrow(lambda it: frequent_batches(it, width, counters), columns)
+    seen = scratch.keep(found.groupBy("name", "span").agg(F.sum("seen").alias("seen"), F.min(F.struct("doc_id", "text_hash", "place")).alias("example")), "seen")
+    total = seen.where("name is null").agg(F.sum("seen")).first()[0] or 0
+    many = scratch.keep(seen.where(F.col("name").isNotNull() & (F.col("seen") >= max(2, total / (counters + 1)))), "frequent")
+    return many.select("name").distinct(), many.where("span is not null").select("name", "span", "example")
+
+
 def kept_sha(c: Chunk, i: int, gone: np.ndarray | None) -> str:
     """SHA-256 of the words of text i that are not gone, joined by spaces."""
     a, b = c.first[i], c.first[i + 1]
@@ -183,7 +243,7 @@ def window_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
             begin = c.first[:-1][owner] + (place >> 5)
             at = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             h = c.hashes()
-            h2 = mix(h + np.uint64(0xABCDEF))
+            h2 = c.hashes(1)
             a, b = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
             for j in range(width):
                 a += h[at + j] * _factors(width, 1)[j]
@@ -229,7 +289,7 @@ def removal_batches(batches: Iterator[pa.RecordBatch], width: int, texts: bool)
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, heavy: int = HEAVY) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with `texts` kept_text."""
     if width < 2 * MARGIN + LENGTH or width - 2 * MARGIN > 31:
         raise ValueError(f"windows must have {2 * MARGIN + LENGTH} to {2 * MARGIN + 31} words")
@@ -237,19 +297,30 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
     ship(spark)
     scratch = Scratch(spark, "substrings")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.shiftright(F.xxhash64("text"), 32).cast("int"))
-    arrays = base.mapInArrow(lambda it: place_batches(it, width), f"doc_id {kind}, text_hash int, name array<long>, span array<long>, place array<long>")
+    base = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    arrays = base.mapInArrow(lambda it: place_batches(it, width), f"doc_id {kind}, text_hash long, name array<long>, span array<long>, place array<long>")
     places = arrays.select("doc_id", "text_hash", F.explode(F.arrays_zip("name", "span", "place")).alias("x")).select("x.name", "x.span", "doc_id", "text_hash", "x.place")
-    by_span = Window.partitionBy("name", "span")
-    rows = places.repartition("name").sortWithinPartitions("name", "span", "doc_id", "place")
+    names, pairs = frequent_places(base, scratch, width, heavy, kind)
+    known = places.join(F.broadcast(names.withColumn("heavy", F.lit(True))), "name", "left").join(F.broadcast(pairs), ["name", "span"], "left")
+    # 0: of a rare name, 1: of a frequent name, 2: of a frequent pair, 3: its example
+    here = F.struct("doc_id", "text_hash", "place")
+    level = F.when(F.col("example").isNotNull(), F.when(here.eqNullSafe(F.col("example")), 3).otherwise(2)).when(F.col("heavy"), 1).otherwise(0)
+    salt = F.when(F.col("level") > 1, F.xxhash64("doc_id", "text_hash", "place")).when(F.col("level") == 1, F.col("span")).otherwise(F.lit(0))
+    dealt = known.select("name", "span", "doc_id", "text_hash", "place", level.cast("byte").alias("level")).withColumn("salt", salt)
+    by_span = Window.partitionBy("name", "salt", "span")
+    rows = dealt.repartition("name", "salt").sortWithinPartitions("name", "salt", "span", "doc_id", "place")
     rows = rows.select(
-        "doc_id", "text_hash", "place",
-        F.count(F.lit(1)).over(by_span).alias("equal"), F.row_number().over(by_span.orderBy("doc_id", "place")).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("name")).alias("named"),
+        "doc_id", "text_hash", "place", "level", F.count(F.lit(1)).over(by_span).alias("equal"),
+        F.row_number().over(by_span.orderBy("doc_id", "place")).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("name", "salt")).alias("named"),
     )
-    several = F.col("named") > F.col("equal")
-    marked = rows.where((F.col("equal") > 1) | several).groupBy("doc_id", "text_hash").agg(
+    equal = F.when(F.col("level") > 1, F.lit(2)).otherwise(F.col("equal"))
+    first = F.when(F.col("level") > 1, F.col("level") == 3).otherwise(F.col("nth") == 1)
+    # frequent names may have several spans; if not, their examples are verified for nothing
+    several = (F.col("level") > 0) | (F.col("named") > F.col("equal"))
+    rows = rows.select("doc_id", "text_hash", "place", equal.alias("equal"), first.alias("first"), several.alias("several"))
+    marked = rows.where("equal > 1 or several").groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.when(F.col("equal") > 1, F.col("place"))).alias("settled"),
-        F.collect_list(F.when(several & (F.col("nth") == 1), F.col("place") * 2 + (F.col("equal") == 1).cast("long"))).alias("checked"),
+        F.collect_list(F.when(F.col("several") & F.col("first"), F.col("place") * 2 + (F.col("equal") == 1).cast("long"))).alias("checked"),
     )
     # a document's lists are bounded by its own words
     marked = scratch.keep(marked, "marked")
@@ -259,7 +330,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False) ->
     keyed = base.repartition("doc_id", "text_hash")  # read by both joins
     windows = keyed.join(checked, same(keyed, checked)).select("doc_id", "text_hash", "text", "checked")
     # of rows that repeat id and text one is enough; their places are settled as copies of each other
-    windows = windows.mapInArrow(lambda it: window_batches(it, width), f"h1 long, h2 long, doc_id {kind}, text_hash int, at long")
+    windows = windows.mapInArrow(lambda it: window_batches(it, width), f"h1 long, h2 long, doc_id {kind}, text_hash long, at long")
     again = windows.select("doc_id", "text_hash", "at", F.count(F.lit(1)).over(Window.partitionBy("h1", "h2")).alias("n"))
     found = again.where("n > 1 and at % 2 = 1").groupBy(*ids).agg(F.collect_list(F.expr("at div 2")).alias("found"))
     settled = marked.select(*ids, "settled").withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"})
