@@ -18,7 +18,8 @@ Only texts and labels of documents given for training are used. Null and empty t
 zero vectors and are scored like others. Without labels all scores are 0.5; with labels of
 one class only, scores are that class's smoothed share. Labels other than 0 and 1 and null
 ids are ignored; a document with several labels counts with each. Repeated rows are scored
-as often as they occur; an empty table gives an empty result.
+as often as they occur; an empty table gives an empty result. `drop_poor` passes other
+columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ def token_slots(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     capitals = upper & (length > 1) & (second >= 65) & (second <= 90)
     last = h.copy()
     last[1:] = h[:-1]
-    last[0] = ~h[0]
+    begin = c.first[:-1][np.diff(c.first) > 0]
+    last[begin] = ~h[begin]  # a text's first token repeats nothing
     repeated = (h == last) & (kind == LETTERS)
     case = np.where(capitals, 2, upper.astype(np.int64))
     size = np.minimum(np.int64(15), length)
@@ -260,10 +262,14 @@ def drop_poor(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
     """The documents that the classifier doesn't reject, with all their columns."""
     vectors = word_vectors(docs)
     net = train(docs, labels, vectors, sample)
+    names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [net.scores(pooled(c, vectors)) >= threshold for c in chunks(batch.column("_quality_text"), _CHUNK, TOKENS)]
-            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, dtype=bool))).drop_columns(["_quality_text"])
+            good = [net.scores(pooled(c, vectors)) >= threshold for c in chunks(batch.column("text"), _CHUNK, TOKENS)]
+            kept = batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, dtype=bool)))
+            yield pa.RecordBatch.from_arrays(kept.columns[1:], names)
 
-    return docs.withColumn("_quality_text", F.col("text").cast("string")).mapInArrow(keep, docs.schema)
+    # columns go by place, as names may have dots
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.select(F.col(f"c{names.index('text')}").cast("string").alias("text"), "*").mapInArrow(keep, docs.schema)
