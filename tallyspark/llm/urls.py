@@ -21,7 +21,8 @@ positions, so at most HEAD of them, are broadcast; the positions of other grams
 shuffled. Log ratios are held as integers of 1e-6, so sums do not depend on their order.
 
 Defined cases: a null url or one without "://" has empty host and path, no rule, and is
-scored like any other text (null: as empty). An empty text has the difference 0. If there
+scored like any other text (null: as empty). An empty text is scored by the chance of an
+end after the padding. If there
 are no examples of one class, or none of it to calibrate on, the threshold is 0. Ties
 (difference equal to the threshold) are allowed. Repeated rows are counted and returned as
 often as they occur. Only DataFrame expressions are used.
@@ -32,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.inputs import spread
 from .common import Scratch
 
 #: (verdict, host, path)
@@ -117,7 +119,8 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, head: int = HE
         F.xxhash64("_text").alias("_key"),
         F.xxhash64("_text", F.lit(1)).alias("_key2"),
     )
-    texts = scratch.keep(texts, "texts")
+    # a small table is one file; its grams are made on all cores
+    texts = spread(scratch.keep(texts, "texts"))
     used = F.when(F.col("kept_out"), F.lit(0))
     positions = texts.select(F.explode(grams(F.col("_text"), order)).alias("gram"), used.otherwise(F.col("a")).alias("a"), used.otherwise(F.col("r")).alias("r"))
     counts = scratch.keep(positions.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count(F.lit(1)).alias("n")), "counts")
