@@ -15,7 +15,7 @@
 Null ids count as larger than others; a group that has only null ids has a null keep_id,
 and its rows are marked kept. Rows that repeat both id and text are marked alike;
 `drop_copies` keeps one of them. An empty table gives an empty result. Other columns are
-passed on by `drop_copies` unchanged.
+passed on by `drop_copies` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, ship, text_of
+from .common import SPACE, Scratch, free_name, quoted, ship, text_of
 
 #: Misra-Gries counters of a partition; also the bound on what is broadcast.
 COUNTERS = 1024
@@ -82,12 +82,13 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The documents that stay, one row of each group, with all their columns."""
+    own_id, sha, rows = (free_name(docs, n) for n in ("kept_id", "kept_sha", "kept_rows"))
     kept = exact_groups(docs.select("doc_id", "text"), counters).where("kept")
-    kept = kept.groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.count(F.lit(1)).alias("_rows"))
-    digest = F.sha2(normal_text(), 256)
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_sha")))
-    single = joined.where("_rows = 1").select(*docs.columns)
-    repeated = joined.where("_rows > 1").dropDuplicates(["_kept_id", "_kept_sha"]).select(*docs.columns)
+    kept = kept.groupBy(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(sha)).agg(F.count(F.lit(1)).alias(rows))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.sha2(normal_text(), 256) == F.col(sha)))
+    columns = [quoted(c) for c in docs.columns]
+    single = joined.where(F.col(rows) == 1).select(*columns)
+    repeated = joined.where(F.col(rows) > 1).dropDuplicates([own_id, sha]).select(*columns)
     return single.unionByName(repeated)
 
 

@@ -19,10 +19,12 @@ of them in part. Running totals come from sums over 4096 ranges of the hash: onl
 documents of the one range in which a copy's end falls are ordered in a window, so no
 pattern is gathered in one task.
 
-Null texts have no words; null sources are a source of their own, after all others. Ties
-in the hash are ordered by document id, and repeated rows (equal ids) count as one unit
-each and are ordered arbitrarily among themselves but get the same total. An empty table
-gives an empty result; sources without words have the target 0.
+Null texts have no words; null sources are a source of their own, after all others. The
+order is by a hash of seed, id and text, then by id and by another hash of the text, so null
+and repeated ids are dealt over all ranges, each row is planned by itself, and only rows that
+are equal in id and text are ordered arbitrarily (what they take together is the same). An
+empty table gives an empty result; sources without words have the target 0. The mix keeps all
+columns, whatever their names. More than MAX_PATTERNS patterns are an error.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, text_of
+from .common import SPACE, Scratch, free_name, quoted, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -185,13 +187,13 @@ def mix_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return [r["_members"] for r in rows], patterns, copies, names, sizes, targets
 
 
-def mix_sources(docs: DataFrame, members: Column | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, members (sources), size, source_size and target (of its first source), taken, copies (words of each copy)."""
+def mix_sources(docs: DataFrame, members: Column | None = None, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, seed: int = SEED, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, members (sources), size, source_size and target (of its first source), taken, copies (words of each copy), and the columns `also`."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     members = F.array(F.col("source").cast("string")) if members is None else F.array_sort(F.array_distinct(members))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    sized = docs.select("doc_id", members.alias("_members"), word_count().alias("size"), order.alias("_order"))
+    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    sized = docs.select("doc_id", *also, members.alias("_members"), word_count().alias("size"), order.alias("_order"), F.xxhash64("text").alias("_tie"))
     sized = scratch.keep(sized.withColumn("_range", F.pmod(F.shiftright("_order", 12), F.lit(RANGES))), "sized")
     names, patterns, copies, sources, sizes, targets = mix_plan(sized, weights, share, most)
     plan = [
@@ -210,7 +212,7 @@ def mix_sources(docs: DataFrame, members: Column | None = None, weights=WEIGHTS,
     cut = F.exists("_copies", lambda f: (f > F.col("_before")) & (f < F.col("_before") + F.col("_in_range")))
     ranges = scratch.keep(ranges.select("_pattern", "_range", "_before", "_in_range", cut.alias("_cut")), "ranges")
     placed = marked.join(ranges, ["_pattern", "_range"])
-    within = Window.partitionBy("_pattern", "_range").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_pattern", "_range").orderBy("_order", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = placed.where("_cut").withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     whole = placed.where("not _cut").withColumn("_at", F.col("_before"))
     # a copy takes the words of [0, f) of its pattern's order; outside the cut ranges a document is in it or not
@@ -223,16 +225,22 @@ def mix_sources(docs: DataFrame, members: Column | None = None, weights=WEIGHTS,
         "target",
         F.aggregate(got, F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"),
         got.alias("copies"),
+        *also,
     )
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document once for every copy that takes words of it, cut to its words where a copy ends."""
-    mix = mix_sources(docs.select("doc_id", "text", "source").dropDuplicates(["doc_id"]), **how).where("taken > 0")
-    mix = mix.select(F.col("doc_id").alias("_mixed_id"), "size", F.explode(F.filter("copies", lambda x: x > 0)).alias("_words"))
-    joined = docs.join(mix.withColumnRenamed("size", "_size"), docs["doc_id"].eqNullSafe(F.col("_mixed_id")))
+    """The mix itself: each row once for every copy that takes words of it, cut to its words where a copy ends."""
+    row, size, taken = (free_name(docs, n) for n in ("row_number", "mix_size", "mix_words"))
+    # rows get numbers of their own and are written with them, as ids may be null or repeated
+    rows = Scratch(docs.sparkSession, "mixed").keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    mix = mix_sources(rows.select("doc_id", "text", "source", row), also=(row,), **how).where("taken > 0")
+    mix = mix.select(row, F.col("size").alias(size), F.explode(F.filter("copies", lambda x: x > 0)).alias(taken))
+    joined = rows.join(mix.hint("merge"), row)
     words = F.split(F.regexp_replace(text_of(), r"\A" + SPACE, ""), SPACE, -1)
-    text = F.when(F.col("_words") >= F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " "))
-    return joined.select(*[text.alias(c) if c == "text" else (F.when(F.col("_words") < F.col("_size"), F.char_length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c]) for c in docs.columns])
-
-
+    part = F.col(taken) < F.col(size)
+    text = F.when(part, F.array_join(F.slice(words, F.lit(1), F.col(taken).cast("int")), " ")).otherwise(F.col("text"))
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(part, F.char_length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[new.get(c, F.col(quoted(c))).alias(c) for c in docs.columns])
