@@ -18,8 +18,12 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     component is a star. Each round is a partly pre-aggregated minimum and a join, which
     adaptive execution can split at hubs; its links are written to the shared folder. Nodes are longs.
     """
-    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}/0")
     for i in range(MOST_ROUNDS):
+        # done when all are stars: no leaf has two centres and no centre is a leaf
+        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        if ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf = 1 and centre = 1").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = join_split(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -27,13 +31,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = join_split(large, least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = scratch.keep(small.distinct(), f"{name}-{i + 1}")
-        scratch.drop(f"{name}-{i}")
-        # done when all are stars: no leaf has two centres and no centre is a leaf
-        ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
-        open_nodes = ends.groupBy("x").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf = 1 and centre = 1")
-        if open_nodes.isEmpty():
-            break
+        edges = scratch.keep(small.distinct(), f"{name}/{i + 1}")
+        scratch.drop(f"{name}/{i}")
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

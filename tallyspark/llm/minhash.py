@@ -21,8 +21,8 @@ whose likeness is at least `least` are linked, and a group is a connected compon
    compares its signatures as arrays and gives a spanning forest of the near pairs between
    clusters. Every link between nodes that share a key is now within a cluster.
 4. Clusters are verified on texts in two steps. First the members of a cluster are dealt
-   into blocks of about BLOCK texts or BLOCK_BYTES, and about HUBS members go to every block:
-   n members make about n * (1 + HUBS / BLOCK) rows. A block computes all overlaps of its
+   into blocks of about FIRST_BLOCK texts or BLOCK_BYTES, and about HUBS members go to every block:
+   n members make about n * (1 + HUBS / FIRST_BLOCK) rows. A block computes all overlaps of its
    multisets as one matrix product and gives a spanning forest of the true links. Only
    members that are not linked to the cluster's largest part then meet all its blocks.
    Groups are the components.
@@ -56,6 +56,7 @@ SIZE = 128
 ROWS = 4
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
+FIRST_BLOCK = 64
 HUBS = 8
 NEAR = 76
 
@@ -206,17 +207,26 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
 
 
 def forest_links(group: pa.Table, near: np.ndarray) -> tuple[list, list]:
-    """A spanning forest over the pairs of `near` (a symmetric matrix) that this pair of blocks is to compare."""
-    ids, own = group.column("node").to_pylist(), group.column("own").to_numpy()
+    """Links that join what the pairs of `near` (a symmetric matrix) join, of those that this pair of blocks is to compare.
+
+    Each joined node is linked to the smallest one of those it was joined with, which leaves
+    little to do for the components.
+    """
+    ids, own = group.column("node").to_numpy(), group.column("own").to_numpy()
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
     forest = Forest(group.column("part").to_numpy())
     others = np.flatnonzero(own == j)
-    a, b = [], []
-    for x in np.flatnonzero(own == i):
-        for y in forest.join(x, others[near[x, others]]):
-            a.append(ids[x])
-            b.append(ids[y])
-    return a, b
+    joined: set[int] = set()
+    for x in np.flatnonzero(own == i).tolist():
+        if found := forest.join(x, others[near[x, others]]):
+            joined.update([x, *found])
+    at = np.array(sorted(joined), dtype=np.int64)
+    if not len(at):
+        return [], []
+    _, which = np.unique(forest.labels[at], return_inverse=True)
+    least = np.full(which.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, ids[at])
+    return ids[at].tolist(), least[which].tolist()
 
 
 def link_batch(a: list, b: list) -> pa.RecordBatch:
@@ -279,6 +289,9 @@ def blocks_of(n: str, block: int, bytes_of: str | None = None, block_bytes: int
 def in_blocks(members: DataFrame) -> DataFrame:
     """Members dealt to the pairs of blocks of their key that are to be compared: key, i, j, own, ..., sorted.
 
+    Pairs are dealt by range, which gives tasks equal numbers of rows; by hash, several of a large
+    key's pairs would meet in one task.
+
     members: key, node, main (part of the key's largest part, which needs no comparison
     within itself), main_blocks, rest_blocks (blocks of the key for members of both kinds),
     and others. Blocks of the rest meet all blocks, those of the main part only those of the
@@ -290,7 +303,7 @@ def in_blocks(members: DataFrame) -> DataFrame:
     meets = F.transform(meets, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     others = [c for c in members.columns if c not in ("key", "main", "main_blocks", "rest_blocks")]
     dealt = members.withColumn("own", own).withColumn("meet", F.explode(meets))
-    return dealt.select("key", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "own", *others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "own", *others).repartitionByRange("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def apart(placed: DataFrame, block: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -323,7 +336,11 @@ def near_clusters(nodes: DataFrame, scratch: Scratch, near: int, block: int) ->
     members = members.select("key", (F.col("part") == F.col("largest")).alias("main"), "main_blocks", "rest_blocks", "node", "part", "signature")
     more = scratch.keep(in_blocks(members).mapInArrow(lambda it: signature_links(it, near), "a long, b long"), "more")
     scratch.drop("placed")
-    return parts if more.isEmpty() else components(links.unionByName(more), scratch, "second")
+    if more.isEmpty():
+        return parts
+    clusters = components(links.unionByName(more), scratch, "second")
+    scratch.drop("near", "more", "first")
+    return clusters
 
 
 def pair_links(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.RecordBatch]:
@@ -337,7 +354,7 @@ def true_links(base: DataFrame, nodes: DataFrame, clusters: DataFrame, scratch:
     members = clusters.join(nodes.select("node", "doc_id", "text_hash", "bytes").hint("merge"), "node").withColumnRenamed("component", "key")
     members = scratch.keep(members, "members")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes"), F.min("node").alias("least"))
-    counts = counts.select("key", "n", "least", blocks_of("n", block, "all_bytes", block_bytes).alias("blocks"))
+    counts = counts.select("key", "n", "least", blocks_of("n", min(block, FIRST_BLOCK), "all_bytes", block_bytes).alias("blocks"))
     hashed = F.xxhash64("node", F.lit(1))
     hub = (F.col("node") == F.col("least")) | (F.pmod(hashed, F.col("n")) < HUBS)
     own = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(hashed, F.col("blocks")).cast("int")))
@@ -349,8 +366,9 @@ def true_links(base: DataFrame, nodes: DataFrame, clusters: DataFrame, scratch:
     scratch.drop("members")
 
     blocks = texts.select("key", F.explode("own").alias("i"), "node", F.col("node").alias("part"), "text").withColumn("j", F.col("i")).withColumn("own", F.col("i"))
-    blocks = blocks.select("key", "i", "j", "own", "node", "part", "text").repartition("key", "i").sortWithinPartitions("key", "i")
+    blocks = blocks.select("key", "i", "j", "own", "node", "part", "text").repartitionByRange("key", "i").sortWithinPartitions("key", "i")
     links = scratch.keep(blocks.mapInArrow(lambda it: text_links(it, least), "a long, b long"), "links")
+    scratch.drop("first", "second")
     parts = components(links, scratch, "blocks")
 
     placed = texts.select("key", "node", "bytes").join(parts.hint("merge"), "node", "left").select("key", "node", "bytes", F.coalesce("component", "node").alias("part"))
@@ -358,18 +376,17 @@ def true_links(base: DataFrame, nodes: DataFrame, clusters: DataFrame, scratch:
     rest = join_split(placed, apart(placed, block, block_bytes), "key").join(texts.select("node", "text").hint("merge"), "node")
     rest = rest.select("key", (F.col("part") == F.col("largest")).alias("main"), "main_blocks", "rest_blocks", "node", "part", "text")
     more = scratch.keep(in_blocks(rest).mapInArrow(lambda it: text_links(it, least), "a long, b long"), "more-links")
-    scratch.drop("parted")
-    scratch.drop("texts")
+    scratch.drop("parted", "texts", "blocks")
     return links.unionByName(more)
 
 
 def near_groups(
-    docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: int = ROWS, block: int = BLOCK, near: int = NEAR, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, least: float = LEAST, size: int = SIZE, rows: int = ROWS, block: int = BLOCK, near: int = NEAR, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None
 ) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its group), class_size, kept (is that id)."""
     spark = docs.sparkSession
     ship(spark)
-    scratch = Scratch(spark, "minhash")
+    scratch = scratch or Scratch(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     sized = base.select("doc_id", "text_hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
     kinds = "doc_id long, text_hash long, bytes long, root binary, signature binary, bands array<long>"
@@ -378,19 +395,23 @@ def near_groups(
     nodes = sketches.groupBy("root").agg(first, F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     numbered = nodes.select(F.monotonically_increasing_id().alias("node"), "root", "first.doc_id", "first.text_hash", "first.bytes", "copies", "signature", "bands")
     nodes = scratch.keep(numbered, "nodes")
+    rooted = scratch.keep(sketches.select("doc_id", "root"), "rooted")
+    scratch.drop("sketches")
     links = true_links(base, nodes, near_clusters(nodes, scratch, near, block), scratch, least, block, block_bytes)
     # ids with several word sequences
-    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("doc_id")
-    known = sketches.select("doc_id", "root").join(several.hint("merge"), "doc_id").distinct().join(nodes.select("root", "node").hint("merge"), "root")
+    several = rooted.where("doc_id is not null").groupBy("doc_id").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("doc_id")
+    known = rooted.join(several.hint("merge"), "doc_id").distinct().join(nodes.select("root", "node").hint("merge"), "root")
     known = scratch.keep(known.select("doc_id", F.col("node").alias("a")), "known")
     across = known.join(known.groupBy("doc_id").agg(F.min("a").alias("b")).hint("merge"), "doc_id").select("a", "b")
     parts = components(links.unionByName(across), scratch, "classes")
 
     classes = nodes.select("node", "root", "doc_id", "copies").join(parts.hint("merge"), "node", "left").select("root", "doc_id", "copies", F.coalesce("component", "node").alias("class"))
     classes = scratch.keep(classes, "placed-classes")
+    scratch.drop("nodes", "links", "more-links", "known", "classes")
     sizes = classes.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = scratch.keep(join_split(classes, sizes, "class").select("root", "class_id", "class_size"), "named")
-    marked = sketches.select("doc_id", "root").join(named.hint("merge"), "root")
+    scratch.drop("placed-classes")
+    marked = rooted.join(named.hint("merge"), "root")
     return marked.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
@@ -405,9 +426,11 @@ def drop_near_copies(docs: DataFrame, by_id: bool = True, **how) -> DataFrame:
     row = free_name(docs, "row_number")
     rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     narrow = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
-    grouped = near_groups(narrow.select(F.col("row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"))
+    own = Scratch(docs.sparkSession, "minhash")
+    grouped = near_groups(narrow.select(F.col("row").alias("doc_id"), "text"), scratch=own, **how).select(F.col("doc_id").alias("row"), F.col("class_id").alias("class"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "row")
     placed = scratch.keep(narrow.select("row", order.alias("order")).join(grouped.hint("merge"), "row"), "placed")
+    own.drop("rooted", "named")
     if by_id:
         known = placed.where("order.id is not null")
         firsts = known.groupBy(F.col("order.id").alias("id")).agg(F.min("class").alias("b"))
