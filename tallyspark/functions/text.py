@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def _chars(*spans: int | tuple[int, int]) -> str:
     return "".join(chr(c) for x in spans for c in (range(x[0], x[1] + 1) if isinstance(x, tuple) else (x,)))
 

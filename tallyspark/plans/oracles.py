@@ -243,8 +243,8 @@ SELECT p_partkey, model, CASE WHEN model = '' THEN 'name' WHEN n > 1 THEN 'dupli
         "price_resolution": query(f"SELECT model, price_match, {', '.join(RATES)} FROM c", "b AS (SELECT model, " + sums() + " FROM r GROUP BY model)", priced("b")),
         "cost_by_model": query("SELECT model, round(cost_usd, 9) AS cost_usd FROM c", "b AS (SELECT model, " + sums() + " FROM r GROUP BY model)", priced("b")),
         "standard_cost": query("SELECT model, round(standard_cost_usd, 9) AS standard_cost_usd FROM c", "b AS (SELECT model, " + sums() + " FROM r GROUP BY model)", priced("b")),
-        "export_events": on_events(f"SELECT {EXPORTED} FROM (SELECT * FROM e WHERE failed ORDER BY timestamp_ms DESC, id DESC LIMIT 1000)"),
-        "backup_events": on_events("SELECT *, (SELECT count(*) > 5000 FROM e) AS truncated FROM e ORDER BY timestamp_ms, id LIMIT 5000"),
+        "export_events": on_events(f"SELECT {EXPORTED} FROM (SELECT * FROM e WHERE failed ORDER BY timestamp_ms DESC, id DESC LIMIT 50000)"),
+        "backup_events": on_events("SELECT *, (SELECT count(*) > 50000 FROM e) AS truncated FROM e ORDER BY timestamp_ms, id LIMIT 50000"),
         "validate_backup": on_events(
             "SELECT min(n) AS bad_ordinal, arg_min(reason, n) AS reason, count(*) AS bad_events FROM (SELECT id + 1 AS n, CASE WHEN id % 1009 = 7 THEN 'invalid' WHEN id % 97 = 5 THEN 'a measure is negative' END AS reason FROM e) WHERE reason IS NOT NULL"
         ),

@@ -195,8 +195,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "price_resolution": on_sums(lambda r, p: pricing.resolve_prices(model_sums(r), p).select("model", "price_match", *RATES)),
         "cost_by_model": on_sums(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("cost_usd", 9).alias("cost_usd"))),
         "standard_cost": on_sums(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("standard_cost_usd", 9).alias("standard_cost_usd"))),
-        "export_events": on_dated(lambda e: ev.export_events(e, ev.EventFilter(status="failure"), 1000)),
-        "backup_events": on_events(lambda e: ev.backup_events(e, 5000)),
+        "export_events": on_dated(lambda e: ev.export_events(e, ev.EventFilter(status="failure"))),
+        "backup_events": on_events(lambda e: ev.backup_events(e)),
         "validate_backup": of(ev.validate_backup, backup_candidates),
         "retention_events": on_events(lambda e: rollups.surviving_events(e, 10, NOW_MS).select("id")),
         "retention_rollups": on_sums(lambda r, p: rollups.surviving_rollups(r, 10, NOW_MS).groupBy("minute").agg(F.sum("requests").alias("requests"))),
