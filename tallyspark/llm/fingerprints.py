@@ -133,6 +133,7 @@ def edited_fingerprints(docs: DataFrame, per_range: int = 200_000, radius: int =
     base = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k1"), F.when(F.col("doc_id").isNull(), F.bitwise_not("hash")).otherwise(F.col("hash")).alias("k2"))
     units = base.groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.max(F.char_length("text")).alias("n_chars"))
     units = scratch.keep(next_units(scratch.keep(units, "units"), scratch, per_range), "next")
+    scratch.drop("units", "ranged")
 
     texts = base.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     cut = F.floor(F.col("n_chars") / 4).cast("int").alias("cut")

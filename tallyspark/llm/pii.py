@@ -273,7 +273,9 @@ def disclosing_terms(docs: DataFrame, scratch: Scratch, support: int = SUPPORT,
     certain = F.col("together") / F.col("documents")
     told = told.select("term", certain.alias("share"), F.log2(certain * F.lit(float(total)) / F.col("entity_documents")).alias("bits"))
     told = told.where((F.col("share") >= share) & (F.col("bits") >= bits))
-    return scratch.keep(told.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")), "disclosing")
+    found = scratch.keep(told.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits")), "disclosing")
+    scratch.drop("near", "pairs")
+    return found
 
 
 def spans_of(c: Chunk, i: int, text: str | None, hit: np.ndarray) -> list[tuple[int, int, int]]:

@@ -324,6 +324,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, texts: bool = False, hea
     )
     # a document's lists are bounded by its own words
     marked = scratch.keep(marked, "marked")
+    scratch.drop("seen", "frequent")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["_id"]) & (a["text_hash"] == b["_hash"])
     ids = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
     checked = marked.where(F.size("checked") > 0).select(*ids, "checked")

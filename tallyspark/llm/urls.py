@@ -139,6 +139,7 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER, head: int = HE
     scores = near.unionByName(far).groupBy("_key", "_key2").agg((F.sum("sum") / F.sum("n") / SCALE).alias("score"))
     scores = scratch.keep(scored.select("_text", "_key", "_key2", "a", "r", "u", "kept_out").join(scores, ["_key", "_key2"]).drop("_key", "_key2"), "scores")
 
+    scratch.drop("texts", "counts", "model")
     held = scores.where("kept_out")
     # scores may lie in millions of urls, but this is one row
     fit = held.agg(
