@@ -55,7 +55,7 @@ LEAST = 0.8
 SIZE = 128
 ROWS = 4
 BLOCK = 256
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 FIRST_BLOCK = 64
 HUBS = 8
 NEAR = 76
