@@ -10,6 +10,7 @@ from ..functions.text import ratio
 from ..sources.schema import TOKENS
 from .pricing import with_costs
 from .ranges import TimeRange
+from .ranking import ranked
 from .rollups import rollups_in
 from .trends import COST_DIGITS, rounded
 
@@ -50,10 +51,10 @@ def dimension(rollups: DataFrame, prices: DataFrame, rng: TimeRange, key: str, *
 
 def present(stats: DataFrame, *within: str) -> DataFrame:
     """Ranked (within some columns) by requests, then stored name, then key; rounded rates."""
-    order = Window.partitionBy(*within).orderBy(F.desc("requests"), "name", "key", "provider")  # over groups only
+    stats = ranked(stats, [F.desc("requests"), F.col("name"), F.col("key"), F.col("provider")], "rank_no", within)
     rate, latency = ratio(F.col("successes"), F.col("requests")), ratio(F.col("latency_sum_ms"), F.col("requests"))
     return stats.select(
-        *within, F.row_number().over(order).alias("rank_no"), "key", "name", "provider", *SHOWN, rounded(F.col("cost_usd"), COST_DIGITS).alias("cost_usd"),
+        *within, F.col("rank_no").cast("int").alias("rank_no"), "key", "name", "provider", *SHOWN, rounded(F.col("cost_usd"), COST_DIGITS).alias("cost_usd"),
         rounded(rate).alias("success_rate"), rounded(latency).alias("avg_latency_ms"), "models",
     )
 
@@ -66,8 +67,8 @@ def merged_sources(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> Dat
     return merged.withColumn("key", ids.public_identifier("source", F.concat_ws("\0", "provider", "name")))
 
 
-def distributions(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
-    """Models, providers, API keys and merged sources in one long table with a `distribution` column, from one scan."""
+def distribution_stats(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
+    """Unrounded statistics of models, providers, API keys and merged sources in one long table with a `distribution` column, from one scan."""
     keys = {"models": "model", "providers": "provider", "api_keys": "api_key_hash", "sources": "source"}
     costed = with_costs(level_one_by(rollups, rng, keys), prices)
     source = F.col("kind") == "sources"
@@ -76,13 +77,23 @@ def distributions(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> Data
     stats = level_two(costed.withColumns({"group": group, "owner": F.when(source, F.col("provider"))}), ["kind", "group", "owner"])
     key = F.when(source, ids.public_identifier("source", F.concat_ws("\0", "owner", "group"))).otherwise(F.col("group"))
     stats = stats.withColumns({"key": key, "name": F.when(source, F.col("group")).otherwise(F.col("name")), "provider": F.coalesce("owner", "provider")})
-    return _shown(present(stats.withColumnRenamed("kind", "distribution"), "distribution"), "distribution")
+    return stats.withColumnRenamed("kind", "distribution")
 
 
-def interfaces(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
-    """API keys and upstreams in one long table with a `kind` column, from one scan."""
+def distributions(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
+    """The same ranked within each distribution, as displayed."""
+    return _shown(present(distribution_stats(rollups, prices, rng), "distribution"), "distribution")
+
+
+def interface_stats(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
+    """Unrounded statistics of API keys and upstreams in one long table with a `kind` column, from one scan."""
     costed = with_costs(level_one_by(rollups, rng, {"api_keys": "api_key_hash", "upstreams": "upstream_key"}), prices)
-    return _shown(present(level_two(costed, ["kind", "key"]), "kind"), "kind")
+    return level_two(costed, ["kind", "key"])
+
+
+def interfaces(rollups: DataFrame, prices: DataFrame, rng: TimeRange) -> DataFrame:
+    """The same ranked within each kind, as displayed."""
+    return _shown(present(interface_stats(rollups, prices, rng), "kind"), "kind")
 
 
 def _shown(rows: DataFrame, kind: str) -> DataFrame:
@@ -114,8 +125,9 @@ def upstream_summary(rollups: DataFrame, prices: DataFrame, rng: TimeRange, key:
 
 def shares(stats: DataFrame) -> DataFrame:
     """key, requests and percent of all requests, at most 100."""
-    total = F.sum("requests").over(Window.partitionBy())  # over groups only
-    return stats.select("key", "requests", rounded(F.least(F.lit(100.0), ratio(F.col("requests") * 100, total))).alias("percent"))
+    total = stats.agg(F.sum("requests").alias("_total"))
+    percent = ratio(F.col("requests") * 100, F.col("_total"))
+    return stats.join(F.broadcast(total)).select("key", "requests", rounded(F.least(F.lit(100.0), percent)).alias("percent"))  # one row
 
 
 def top_five(rows: DataFrame) -> DataFrame:

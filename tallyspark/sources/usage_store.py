@@ -6,28 +6,19 @@ decodes, normalises and writes the events and their rollups to the shared folder
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.events import compact_events, normalize_events
+from .scratch import shared_dir
 from .tables import UsageTables
 from .usage_view import raw_usage
 
 _stores: dict[tuple[str, str], UsageTables] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
 def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_usage(spark, sf_dir)
     ns = {f"{n}_ns": F.col(f"{n}_ms") * 1_000_000 for n in ("latency", "ttft")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import dimensions as dims
 from tallyspark.operators import events as ev
-from tallyspark.operators import pricing, ranges, rollups
+from tallyspark.operators import pricing, ranges, ranking, rollups
 from tallyspark.sources import usage_view
 from tallyspark.sources.files import Files
 from tallyspark.sources.tables import UsageTables, write_csv
@@ -66,15 +66,15 @@ def test_event_queries_prune_days(days):
 def test_several_dimensions_come_from_one_scan(spark, days):
     prices = usage_view.prices(spark)
     rng = ranges.time_range(NOW, "7d")
-    for df, most in ((dims.distributions(days.rollups(), prices, rng), 8), (dims.interfaces(days.rollups(), prices, rng), 8)):
+    for df, most in ((dims.distribution_stats(days.rollups(), prices, rng), 8), (dims.interface_stats(days.rollups(), prices, rng), 8)):
         text = plan(df)
         assert text.count("FileScan parquet") == 1 and text.count("Exchange") <= most
     one = {"models": "model", "providers": "provider", "api_keys": "api_key_hash"}
-    rows = dims.distributions(days.rollups(), prices, rng).collect()
+    rows = dims.distributions(days.rollups(), prices, rng).orderBy("rank_no").collect()
     for name, key in one.items():
-        alone = dims.present(dims.dimension(days.rollups(), prices, rng, key)).collect()
+        alone = dims.present(dims.dimension(days.rollups(), prices, rng, key)).orderBy("rank_no").collect()
         assert [(r.rank_no, r.requests, r.input_tokens, r.cost_usd, r.models) for r in rows if r.distribution == name] == [(r.rank_no, r.requests, r.input_tokens, r.cost_usd, r.models) for r in alone]
-    merged = dims.present(dims.merged_sources(days.rollups(), prices, rng)).collect()
+    merged = dims.present(dims.merged_sources(days.rollups(), prices, rng)).orderBy("rank_no").collect()
     assert [(r.rank_no, r.key, r.name, r.provider, r.requests, r.models) for r in rows if r.distribution == "sources"] == [(r.rank_no, r.key, r.name, r.provider, r.requests, r.models) for r in merged]
 
 
@@ -151,3 +151,22 @@ def test_price_lists_are_bounded(spark):
     rows = spark.range(pricing.MOST_PRICES + 1).select(F.concat(F.lit("m"), "id").alias("model"), *[F.lit(1.0).alias(r) for r in ("input_per_million", "output_per_million", "cache_read_per_million", "cache_write_per_million", "reasoning_per_million")], F.lit(0).cast("long").alias("updated_at_ms"))
     with pytest.raises(ValueError, match="2000"):
         pricing.check_prices(rows)
+
+
+def test_ranks_are_dealt_out(spark, days):
+    prices, rng = usage_view.prices(spark), ranges.time_range(NOW, "7d")
+    for df in (dims.interfaces(days.rollups(), prices, rng), dims.shares(dims.interfaces(days.rollups(), prices, rng)), dims.distributions(days.rollups(), prices, rng)):
+        assert "Window" not in plan(df)
+    rows = spark.range(5000).select((F.col("id") % 3).alias("kind"), (F.col("id") % 7).alias("size"), "id", F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("side"))
+    got = ranking.ranked(rows, [F.desc("size"), F.col("id")], "rank_no").collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.rank_no)] == [r.id for r in sorted(rows.collect(), key=lambda r: (-r.size, r.id))]
+    assert sorted(r.rank_no for r in got) == list(range(1, 5001))
+    for within in (("kind",), ("kind", "side")):
+        got = ranking.ranked(rows, [F.desc("size"), F.col("id")], "rank_no", within).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(tuple(r[w] for w in within), []).append(r)
+        assert len(got) == 5000
+        for own in groups.values():
+            assert [(r.rank_no, r.id) for r in sorted(own, key=lambda r: r.rank_no)] == [(i + 1, r.id) for i, r in enumerate(sorted(own, key=lambda r: (-r.size, r.id)))]
+    assert ranking.ranked(rows.limit(0), [F.col("id")], "rank_no").count() == 0
