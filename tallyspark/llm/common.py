@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.inputs import spread
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401
 
 SPACE = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
@@ -27,7 +27,6 @@ CHUNK_BYTES = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
-_own_root: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -64,37 +63,6 @@ def join_split(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return rows.join(dealt.hint("merge"), F.col(key) == F.bitwise_not("_complement")).drop("_complement")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if sc.master != "local" and not sc.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if sc.applicationId not in _own_root:
-        _own_root[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own_root[sc.applicationId]
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more; those that are not there are passed over."""
-        for name in names:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once per application."""
     sc = spark.sparkContext
@@ -118,19 +86,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial word hashes over random byte values, finalised; one per seed."""
+    """Word hashes of one seed: a random 64-bit value for each byte at each of the first places, and what tells longer words' blocks apart."""
 
-    def __init__(self, seed: int):
-        self.values = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 1)) | np.uint64(1)
-        self.factor = mix(np.array([seed + 77], dtype=np.uint64))[0] | np.uint64(1)
-        self.powers = np.ones(1, dtype=np.uint64)
+    WIDTH = 16
 
-    def power(self, n: int) -> np.ndarray:
-        if len(self.powers) < n:
-            steps = np.full(max(n, 64), self.factor, dtype=np.uint64)
-            steps[0] = 1
-            self.powers = np.cumprod(steps, dtype=np.uint64)
-        return self.powers
+    def __init__(self, seed: int):
+        cells = np.arange(self.WIDTH * 256, dtype=np.uint64) + np.uint64(seed << 32)
+        self.values = mix(mix(cells ^ _MIX_A) ^ np.uint64(seed)).reshape(-1)
+        self.block_key = mix(np.array([seed + 77], dtype=np.uint64))[0]
 
 
 _hashers: dict[int, Hasher] = {}
@@ -169,6 +132,7 @@ class Chunk:
         self.stop = np.flatnonzero(change[1:] & inside) + 1
         self.first = np.searchsorted(self.start, ends)
         self.inside = inside
+        self._places: np.ndarray | None = None
 
     @property
     def n_words(self) -> np.ndarray:
@@ -179,20 +143,30 @@ class Chunk:
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
         h = hasher(seed)
-        longest = int((self.stop - self.start).max())
-        # place of each byte in its token
-        gaps = np.ones(len(self.data), dtype=np.int32)
-        gaps[self.start[1:]] = 1 - np.diff(self.start)
-        gaps[: self.start[0] + 1] = 0
-        place = np.cumsum(gaps, dtype=np.int32)
-        place[~self.inside] = 0
-        data = self.data
+        if self._places is None:
+            # place of each byte in its token
+            gaps = np.ones(len(self.data), dtype=np.int32)
+            gaps[self.start[1:]] = 1 - np.diff(self.start)
+            gaps[: self.start[0] + 1] = 0
+            self._places = np.cumsum(gaps, dtype=np.int32)
+            self._places[~self.inside] = 0
+        place, data = self._places, self.data
         if lower:
             data = data.copy()
             data[(data >= 65) & (data <= 90)] += 32
-        terms = h.values[data] * h.power(longest)[place]
-        terms[~self.inside] = 0
-        return mix(np.add.reduceat(terms, self.start) + (self.stop - self.start).astype(np.uint64))
+        length = self.stop - self.start
+        terms = h.values[((place & (h.WIDTH - 1)) << 8) + data]
+        terms *= self.inside
+        if int(length.max()) > h.WIDTH:
+            # later blocks of a word are mixed with their number before they are added
+            opens = np.flatnonzero(self.inside & (place & (h.WIDTH - 1) == 0))
+            number = (place[opens] // h.WIDTH).astype(np.uint64)
+            sums = np.add.reduceat(terms, opens)
+            sums[number > 0] = mix(mix(sums[number > 0]) ^ mix(number[number > 0] + h.block_key))
+            whole = np.add.reduceat(sums, np.searchsorted(opens, self.start))
+        else:
+            whole = np.add.reduceat(terms, self.start)
+        return mix(whole + length.astype(np.uint64))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.stop[i]].tobytes()

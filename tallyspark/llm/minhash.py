@@ -154,7 +154,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], size: int, rows: int) -> I
             docs = c.hi - c.lo
             signatures = bag_minhash(owner, v, n, docs, size)
             keys = band_keys(signatures, rows)
-            root = np.stack([sequence_hash(h, c.first, 1), sequence_hash(h, c.first, 2)], axis=1)
+            root = np.stack([sequence_hash(h, c.first, 1), sequence_hash(c.hashes(1), c.first, 2)], axis=1)
             filled = c.n_words > 0
             keys_of = lists(as_long(keys[filled].ravel()), np.where(filled, keys.shape[1], 0), pa.int64())
             others = [n for n in batch.schema.names if n != "text"]

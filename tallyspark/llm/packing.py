@@ -6,7 +6,7 @@ decreasing: longest first, each into the open sequence with the least room that
 holds it, found in a segment tree over the remaining capacities.
 
 The ids are made, cut and check-summed in the one pass that reads the texts; only pieces
-(a few integers) are shuffled. They are dealt by a hash of document and start to groups
+(a few integers) are shuffled. They are dealt by a hash of document, start and place to groups
 of about `group_pieces`, so that a group fits one task whatever the input's size or its
 longest document; each group wastes at most its last open sequences.
 
@@ -42,7 +42,8 @@ class WordEncoder:
 
     White space separates the tokenizer's pieces, so a text's ids are its words' ids in
     turn; each distinct word of a chunk is encoded once. Words are known by a 64-bit hash
-    of their bytes (ASCII letters lower-cased, as the tokenizer does itself).
+    of their bytes (ASCII letters lower-cased, as the tokenizer does itself), which a second
+    hash of another seed confirms.
     """
 
     def __init__(self, path: str):
@@ -57,6 +58,7 @@ class WordEncoder:
             raise ValueError("the tokenizer has no id for the mark")
         self.mark = mark[0]
         self.known = np.zeros(0, dtype=np.uint64)  # sorted word hashes
+        self.proof = np.zeros(0, dtype=np.uint64)  # their second hashes
         self.at = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
@@ -83,9 +85,15 @@ class WordEncoder:
     def chunk_ids(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of the chunk in turn (without end ids), and n+1 offsets."""
         unique, sample, inverse = np.unique(chunk.hashes(0, lower=True), return_index=True, return_inverse=True)
+        second = chunk.hashes(2, lower=True)
+        proof = second[sample]
+        if (proof[inverse] != second).any():
+            raise ValueError("two words have the same hash")
         place = np.searchsorted(self.known, unique)
         place[place == len(self.known)] = 0
         hit = self.known[place] == unique if len(self.known) else np.zeros(len(unique), dtype=bool)
+        if (self.proof[place[hit]] != proof[hit]).any():
+            raise ValueError("two words have the same hash")
         fresh = np.flatnonzero(~hit)
         ids, counts = self.encode_words([chunk.word(i) for i in sample[fresh]])
         begin, length = np.zeros(len(unique), dtype=np.int64), np.zeros(len(unique), dtype=np.int64)
@@ -104,6 +112,7 @@ class WordEncoder:
             self.ids = pool[np.repeat(begins - (ends_all - lengths), lengths) + np.arange(int(ends_all[-1]))]
             self.at = np.concatenate([[0], ends_all])
             self.known = np.concatenate([self.known, unique[fresh]])[order]
+            self.proof = np.concatenate([self.proof, proof[fresh]])[order]
         return out, np.concatenate([[0], ends])[chunk.first]
 
 
@@ -191,7 +200,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pack_group(key: tuple, group: pa.Table, capacity: int) -> pa.Table:
-    group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+    group = group.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "place")]).drop_columns(["place"])
     window, offset = best_fit_decreasing(group.column("length").to_numpy(), capacity)
     used = np.bincount(window, weights=group.column("length").to_numpy()).astype(np.int64)
     pad = np.where((used & (used - 1)) == 0, 0, capacity - used)
@@ -210,9 +219,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: the columns of token_pieces, and sequence_id, offset, sequence_padding."""
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.keep(token_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    # a piece's place among the written ones deals out equal rows, too
+    pieces = scratch.keep(token_pieces(docs, tokenizer_path, capacity, end_id).withColumn("place", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "place"), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInArrow(
         lambda key, group: pack_group(key, group, capacity),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_padding long",

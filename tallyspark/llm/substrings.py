@@ -134,15 +134,14 @@ def window_anchors(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
 
 def span_hashes(words: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Hashes of the words low..high-1."""
-    n = len(words)
-    # a polynomial in an odd factor: dividing by its power moves a span to the origin
-    factor = int(_PAIR) | 1
-    inverse = pow(factor, -1, 1 << 64)
-    steps = np.ones((2, n + 1), dtype=np.uint64)
-    steps[:, 1:] = np.array([[factor], [inverse]], dtype=np.uint64)
-    power, back = np.cumprod(steps, axis=1, dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(words) * power[:-1], dtype=np.uint64)])
-    return mix((sums[high] - sums[low]) * back[low] + mix((high - low).astype(np.uint64)))
+    # a factor of its own for each place, so that no sequences collide by construction
+    longest = int((high - low).max(initial=0))
+    factors = mix(np.arange(longest, dtype=np.uint64) ^ _PAIR) | np.uint64(1)
+    mixed, out = mix(words), np.zeros(len(low), dtype=np.uint64)
+    for j in range(longest):
+        live = np.flatnonzero(low + j < high)
+        out[live] += mixed[low[live] + j] * factors[j]
+    return mix(out + mix((high - low).astype(np.uint64)))
 
 
 def place_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
