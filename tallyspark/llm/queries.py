@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, minhash, mixing, packing, pii, quality, substrings, urls, warc
+from . import exact, fingerprints, importance, minhash, mixing, packing, pii, quality, substrings, urls, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,13 +65,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("members", "copies")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality, op2_packing, op3_near_dedup, op4_url_filter, op5_fingerprints,
-        op6_pii, op7_warc, op8_exact_dedup, op9_substring_dedup, op10_mixing,
+        op6_pii, op7_warc, op8_exact_dedup, op9_substring_dedup, op10_mixing, op12_importance,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL}
+    return {"op7_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op12_importance": importance.ORACLE_SQL}
