@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, importance, minhash, mixing, packing, pii, quality, substrings, urls, warc
+from . import exact, fingerprints, importance, minhash, mixing, negatives, packing, pii, quality, substrings, urls, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +65,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("members", "copies")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
@@ -72,10 +78,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality, op2_packing, op3_near_dedup, op4_url_filter, op5_fingerprints,
-        op6_pii, op7_warc, op8_exact_dedup, op9_substring_dedup, op10_mixing, op12_importance,
+        op6_pii, op7_warc, op8_exact_dedup, op9_substring_dedup, op10_mixing, op11_hard_negatives, op12_importance,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op12_importance": importance.ORACLE_SQL}
+    return {"op11_hard_negatives": negatives.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op8_exact_dedup": exact.ORACLE_SQL, "op9_substring_dedup": substrings.ORACLE_SQL, "op12_importance": importance.ORACLE_SQL}
