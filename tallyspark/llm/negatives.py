@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def integer_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def unpack(vectors: pa.Array, dims: int) -> np.ndarray:
     """Vectors of bytes as the rows of an integer matrix, filled up with zeros."""
     out = np.zeros((len(vectors), dims), dtype=np.int32)
-    sizes = np.asarray(pa.compute.binary_length(vectors)) // 4
+    sizes = np.asarray(pc.binary_length(vectors)) // 4
     if len(vectors) and (sizes == dims).all():
         raw = b"".join(vectors.to_pylist())
         return np.frombuffer(raw, dtype=np.int32).reshape(len(vectors), dims)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprints, importance, minhash, mixing, negatives, packing, pii, quality, substrings, urls, warc
+from . import exact, fingerprints, importance, minhash, mixing, negatives, packing, pages, pii, quality, substrings, urls, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,10 +75,14 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality, op2_packing, op3_near_dedup, op4_url_filter, op5_fingerprints,
-        op6_pii, op7_warc, op8_exact_dedup, op9_substring_dedup, op10_mixing, op11_hard_negatives, op12_importance,
+        op6_pii, op7_warc, op8_exact_dedup, op9_substring_dedup, op10_mixing, op11_hard_negatives, op12_importance, op13_main_text,
     ]
     return {f.__name__: f for f in found}
 
