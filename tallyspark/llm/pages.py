@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import TOKENS, chunks, ship
 
-SAMPLE, SAMPLE_BYTES, REBUILT = 500, 1 << 16, 2
+SAMPLE, SAMPLE_BYTES, REBUILT, LEAST_REBUILT = 500, 1 << 16, 2, 800
 THRESHOLD = 0.5
 PATH_DIMS, LEAF_DIMS, WORD_DIMS, HIDDEN = 96, 32, 32, 24
 PATH_DEPTH = 32
@@ -205,7 +205,7 @@ def block_features(blocks: list[Block], place: np.ndarray, total: np.ndarray) ->
         out[own, measures + 4] = np.log1p(c.n_words) / 3
         out[own, measures + 5] = np.minimum(1, linked[own] / size)
     out[:, measures + 6] = place / np.maximum(total - 1, 1)
-    out[:, measures + 7] = np.log1p(total) / 4
+    out[:, measures + 7] = np.log1p(np.minimum(total, 60)) / 4  # longer pages are all alike to it
     out[:, measures + 8] = place == 0
     out[:, measures + 9] = place == total - 1
     return out
@@ -432,9 +432,13 @@ def training_pages(pages: list[str], times: int = REBUILT, seed: int = SEED) ->
     mains = [[x for x, keep in zip(b, y, strict=True) if keep] for b, y in told]
     # without such markup, longer blocks stand for main text
     mains += [] if mains else [[x for x in b if len(x.text) > 80] for b, _ in read]
-    mains = [m for m in mains if m] or [[Block("", s, 0) for s in SENTENCES.split("|")]] * 40
+    mains = [m for m in mains if m] + [[Block("", s, 0) for s in SENTENCES.split("|")]]
     others = [x.text for m in mains for x in m]
-    rebuilt_pages = [rebuilt(rng, rng.choice([m, m[: rng.randint(1, 6)]]), others) for m in mains for _ in range(times)]
+    # few pages are rebuilt more often
+    times = max(times, LEAST_REBUILT // len(mains))
+    # whole ones, short ones and, now and then, very long ones
+    cut = lambda m: rng.choice([m, m[: rng.randint(1, 6)]]) if rng.random() > 0.03 else (m * 150)[:150]
+    rebuilt_pages = [rebuilt(rng, cut(m), others) for m in mains for _ in range(times)]
     # pages whose blocks have each other's texts: where markup tells a block's role, its words don't matter
     for b, y in told[::2]:
         texts = [x.text for x in b]
