@@ -452,7 +452,10 @@ def fit_on_pages(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     own = F.col("html").cast("string")
     key = F.xxhash64(own)
     small = pages.where(F.octet_length(own) <= SAMPLE_BYTES).select(own.alias("html"), key.alias("_key"))
-    rows = small.orderBy("_key", "html").limit(sample).collect()
+    # of many pages only those with small hashes are sorted, so few are sent to the driver
+    share = min(1.0, 4 * sample / max(pages.count(), 1))
+    few = small.where(F.pmod("_key", F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else small
+    rows = few.orderBy(F.pmod("_key", F.lit(1 << 30)), "_key", "html").limit(sample).collect()
     return fit(training_pages([r["html"] for r in rows]))
 
 
