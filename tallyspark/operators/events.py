@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as ids
-from ..functions.decode import decode_record, is_malformed, parse_record
+from ..functions.decode import decode_records
 from ..functions.text import clean_dimension, like_ascii, sanitize_endpoint, sanitize_failure, text, trim
 from ..sources.schema import EVENT, EVENT_COLUMNS, TOKENS
 from .ranges import DAY
@@ -18,13 +18,7 @@ MS_NS = 1_000_000
 
 def decode_usage(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Decodes JSON usage records (malformed ones have a true `malformed` column), keeping the other columns."""
-    others = [c for c in raw.columns if c != column]
-    snake, legacy = parse_record(F.col(column))
-    # a projection of its own: each record is parsed twice, whatever is read from it
-    parsed = raw.select(*others, F.col(column).alias("_record"), snake.alias("_snake"), legacy.alias("_legacy"))
-    record, snake, legacy = F.col("_record"), F.col("_snake"), F.col("_legacy")
-    fields = decode_record(record, snake, legacy)
-    return parsed.select(*others, is_malformed(record, snake, legacy).alias("malformed"), *[v.alias(k) for k, v in fields.items()])
+    return decode_records(raw, column)
 
 
 def _material(provider: Column, auth_id: Column, auth_index: Column, auth_type: Column) -> Column:
@@ -34,7 +28,7 @@ def _material(provider: Column, auth_id: Column, auth_index: Column, auth_type:
 def compact_events(decoded: DataFrame, salt: str = ids.SALT, ingest_ms: Column | None = None) -> DataFrame:
     """Decoded records as events: cleaned, defaulted, clamped, without raw identities.
 
-    decoded: the columns of decode_record and `id`. A missing time becomes `ingest_ms`.
+    decoded: the columns of decode_records and `id`. A missing time becomes `ingest_ms`.
     """
     c = F.col
     provider, model = clean_dimension(c("provider"), "unknown"), clean_dimension(c("model"), "unknown")

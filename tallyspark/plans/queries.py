@@ -65,7 +65,7 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.concat(F.date_format(stamp + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+08:00")))
         .otherwise("not a time")
     )
-    return u.select("id", decode.event_time_ms(raw).alias("time_ms"))
+    return decode.event_time_ms(u.select("id", raw.alias("v")), "v", "time_ms").drop("v")
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +79,14 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.concat(n, F.lit(".5")))
         .otherwise("5 parsecs")
     )
-    return u.select("id", decode.duration_ns(raw, 1_000_000).alias("duration_ns"))
+    return decode.duration_ns(u.select("id", raw.alias("v")), "v", 1_000_000, "duration_ns").drop("v")
 
 
 def malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = usage_view.record_json(usage_view.raw_usage(spark, sf_dir))
     kind = F.col("id") % 11
     broken = F.when(kind == 0, F.expr("left(raw, length(raw) - 1)")).when(kind == 1, "not json").when(kind == 2, F.concat(F.lit("["), "raw", F.lit("]"))).otherwise(F.col("raw"))
-    return records.withColumn("raw", broken).where(decode.is_malformed(F.col("raw"))).select("id")
+    return ev.decode_usage(records.withColumn("raw", broken)).where("malformed").select("id")
 
 
 def customer_values(spark: SparkSession, sf_dir: str) -> DataFrame:

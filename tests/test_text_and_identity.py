@@ -17,11 +17,15 @@ def strip_controls(s):
     return re.sub("[\x00-\x1f\x7f-\x9f]", "", s)
 
 
-def apply(spark, values, f):
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string").select("i", f(F.col("v")).alias("o")).collect()
+def applied(spark, values, f):
+    rows = f(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")).collect()
     return [r.o for r in sorted(rows, key=lambda r: r.i)]
 
 
+def apply(spark, values, f):
+    return applied(spark, values, lambda rows: rows.select("i", f(F.col("v")).alias("o")))
+
+
 def clean(s, fallback="unknown"):
     s = s.strip(WHITE)
     if not s:
@@ -108,10 +112,10 @@ def test_times(spark):
         "2025-03-12T12:00:00Z": 1741780800000, "2025-03-12T12:00:00.1234567Z": 1741780800123, "2025-03-12T20:00:00+08:00": 1741780800000, "1741780800": 1741780800000, "1741780800.5": 1741780800500,
         "1741780800123": 1741780800123, "1741780800123000000": 1741780800123, "2023": 2023000, "1.7e9": 1700000000000, "0": None, "": None, "soon": None, "NaN": None, "-5": -5000, "2023-13-01T00:00:00Z": None,
     }
-    assert dict(zip(known, apply(spark, list(known), decode.event_time_ms), strict=True)) == known
+    assert dict(zip(known, applied(spark, list(known), lambda rows: decode.event_time_ms(rows, "v", "o")), strict=True)) == known
 
 
 def test_durations(spark):
     ms = 1_000_000
-    known = {"220ms": 220 * ms, "1h2m3.5s": 3723500 * ms, "1.5us": 1500, "1.5µs": 1500, "-2s": -2000 * ms, "5": 5 * ms, "0.25": ms // 4, "": 0, "x": 0, "1s2": 0, "ms": 0, "100ns": 100, ".5s": 500 * ms}
-    assert dict(zip(known, apply(spark, list(known), lambda c: decode.duration_ns(c, ms)), strict=True)) == known
+    known = {"220ms": 220 * ms, "1h2m3.5s": 3723500 * ms, "1.5us": 1500, "1.5µs": 1500, "-2s": -2000 * ms, "5": 5 * ms, "0.25": ms // 4, "": 0, "x": 0, "1s2": 0, "ms": 0, "3ms2h1ms": (7200_000 + 4) * ms, "1h" * 9: 0, "100ns": 100, ".5s": 500 * ms}
+    assert dict(zip(known, applied(spark, list(known), lambda rows: decode.duration_ns(rows, "v", ms, "o")), strict=True)) == known
