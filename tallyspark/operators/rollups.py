@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import MEASURES, ROLLUP_KEYS, ROLLUP_LABELS, TOKENS
 from .ranges import DAY, MINUTE, TimeRange
 
 
-def minute_rollup(events: DataFrame) -> DataFrame:
-    """Events by minute and five dimensions: 13 sums, and the labels of the latest event."""
+#: The order of events that decides whose labels stay; the label itself comes last.
+LAST = ("timestamp_ms", "id")
+
+
+def measures() -> dict[str, Column]:
+    """The 13 sums over events."""
     c = F.col
-    last = F.struct("timestamp_ms", "id")
-    one = {
+    return {
         "requests": F.count(F.lit(1)), "successes": F.count_if(~c("failed")), "failures": F.count_if(c("failed")),
         **{t: F.sum(t) for t in TOKENS}, "latency_sum_ms": F.sum("latency_ms"), "ttft_sum_ms": F.sum("ttft_ms"), "ttft_count": F.count_if(c("ttft_ms") > 0),
     }
-    labels = [F.max_by(x, last).alias(x) for x in ROLLUP_LABELS]
+
+
+def minute_rollup(events: DataFrame) -> DataFrame:
+    """Events by minute and five dimensions: 13 sums, and the labels of the latest event."""
+    labels = [F.max_by(x, F.struct(*LAST, x)).alias(x) for x in ROLLUP_LABELS]
+    one = measures()
     return events.withColumn("minute", F.expr(f"timestamp_ms div {MINUTE}")).groupBy(*ROLLUP_KEYS).agg(*labels, *[one[m].alias(m) for m in MEASURES])
 
 

@@ -1,4 +1,4 @@
-"""Streaming ingest of usage records, and a live rollup."""
+"""Streaming ingest of usage records."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import identity
 from ..operators import events as ev
-from ..sources.schema import TOKENS
 from ..sources.tables import UsageTables
 
 #: Bits of an event id for the partition and the row within a batch; 31 are left for the batch.
@@ -75,12 +73,3 @@ def ingest_metrics(tables: UsageTables) -> dict:
         "accepted": sum(c["events"] for c in commits), "dropped": sum(c.get("dropped", 0) for c in commits), "batches": len(commits), "write_failures": len(tables.files.names("failures")),
         "last_batch_events": last.get("events", 0), "last_batch_ms": last.get("took_ms", 0),
     }
-
-
-def live_rollup(records: DataFrame, retention_days: int = 30, salt: str = identity.SALT) -> DataFrame:
-    """Minute sums of a stream of `raw` texts by provider and model; rows later than the retention are dropped."""
-    decoded = ev.decode_usage(records.withColumn("id", F.lit(0).cast("long"))).where("not malformed")
-    events = ev.compact_events(decoded, salt).withColumn("event_ts", F.timestamp_millis("timestamp_ms"))
-    late = events.withWatermark("event_ts", f"{retention_days} days")
-    sums = late.groupBy(F.window("event_ts", "1 minute").alias("w"), "provider", "model").agg(F.count(F.lit(1)).alias("requests"), F.count_if("failed").alias("failures"), *[F.sum(t).alias(t) for t in TOKENS])
-    return sums.select((F.unix_millis("w.start") / 60000).cast("long").alias("minute"), *[c for c in sums.columns if c != "w"])
