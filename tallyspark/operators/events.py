@@ -11,6 +11,7 @@ from ..functions import identity as ids
 from ..functions.decode import decode_records
 from ..functions.text import clean_dimension, like_ascii, sanitize_endpoint, sanitize_failure, text, trim
 from ..sources.schema import EVENT, EVENT_COLUMNS, TOKENS
+from .identities import by_distinct
 from .ranges import DAY
 
 MS_NS = 1_000_000
@@ -25,29 +26,62 @@ def _material(provider: Column, auth_id: Column, auth_index: Column, auth_type:
     return F.concat_ws("\0", provider, text(auth_id), text(auth_index), text(auth_type))
 
 
+#: What a record's identity columns hang on, and its other texts but the failure.
+RECORD_IDENTITY = ("provider", "auth_id", "auth_index", "auth_type", "source", "api_key")
+RECORD_TEXTS = ("executor_type", "model", "alias", "endpoint", "reasoning_effort", "service_tier")
+
+
+def record_identities(rows: DataFrame, salt: str) -> DataFrame:
+    """Columns _provider, _hash, _upstream, _label and _mask of records."""
+    c = F.col
+    provider = clean_dimension(c("provider"), "unknown")
+    upstream = ids.short_hmac(_material(c("_provider"), c("auth_id"), c("auth_index"), c("auth_type")), salt)
+    hashed = F.when(text(c("api_key")) == "", "").otherwise(ids.short_hmac(c("api_key"), salt))
+    first = rows.withColumn("_provider", provider).withColumns({"_upstream": upstream, "_hash": hashed, "_named": ids.credential_from_source(c("_provider"), c("source"))})
+    credential = F.when(c("_named") == "", ids.preferred_credential(c("auth_type"), c("auth_id"), c("auth_index"))).otherwise(c("_named"))
+    return first.withColumns({"_label": ids.credential_label(c("_provider"), credential, c("_upstream")), "_mask": ids.anonymous_label("key", c("_hash"))}).drop("_named")
+
+
+def event_identities(rows: DataFrame, salt: str) -> DataFrame:
+    """The same of events: hashes what isn't hashed and recomputes labels."""
+    c = F.col
+    key, upstream_key = text(c("api_key_hash")), text(c("upstream_key"))
+    hashed = F.when((key == "") | ids.is_hex_digest(key), key).otherwise(ids.short_hmac(key, salt))
+    made = ids.short_hmac(_material(c("_provider"), c("auth_id"), c("auth_index"), c("auth_type")), salt)
+    upstream = F.when(upstream_key == "", made).when(ids.is_hex_digest(upstream_key), upstream_key).otherwise(ids.short_hmac(upstream_key, salt))
+    first = rows.withColumn("_provider", clean_dimension(c("provider"), "unknown")).withColumns({"_hash": hashed, "_upstream": upstream, "_named": ids.credential_from_source(c("_provider"), c("source"))})
+    credential = F.when(c("_named") == "", ids.preferred_credential(c("auth_type"), c("auth_id"), c("auth_index"))).otherwise(c("_named"))
+    first = first.withColumn("_credential", credential)
+    return first.withColumns({"_label": ids.stored_label(c("_provider"), c("_credential"), c("upstream_label"), c("_upstream")), "_mask": ids.anonymous_label("key", c("_hash"))}).drop("_named", "_credential")
+
+
 def compact_events(decoded: DataFrame, salt: str = ids.SALT, ingest_ms: Column | None = None) -> DataFrame:
     """Decoded records as events: cleaned, defaulted, clamped, without raw identities.
 
     decoded: the columns of decode_records and `id`. A missing time becomes `ingest_ms`.
     """
+    first = record_identities(decoded, salt).withColumns(record_texts())
+    return _compacted(first, ingest_ms)
+
+
+def record_texts() -> dict[str, Column]:
+    """Columns _model and so on of records: what the other texts but the failure become."""
+    cleaned = {f"_{n}": clean_dimension(F.col(n)) for n in ("executor_type", "alias", "reasoning_effort", "service_tier")}
+    return {**cleaned, "_model": clean_dimension(F.col("model"), "unknown"), "_endpoint": sanitize_endpoint(F.col("endpoint"))}
+
+
+def _compacted(first: DataFrame, ingest_ms: Column | None) -> DataFrame:
     c = F.col
-    provider, model = clean_dimension(c("provider"), "unknown"), clean_dimension(c("model"), "unknown")
-    upstream = ids.short_hmac(_material(provider, c("auth_id"), c("auth_index"), c("auth_type")), salt)
-    named = ids.credential_from_source(provider, c("source"))
-    credential = F.when(named == "", ids.preferred_credential(c("auth_type"), c("auth_id"), c("auth_index"))).otherwise(named)
-    hashed = F.when(text(c("api_key")) == "", "").otherwise(ids.short_hmac(c("api_key"), salt))
     now = F.unix_millis(F.current_timestamp()) if ingest_ms is None else ingest_ms
-    # the key and the label are used several times: computed once in a first projection
-    first = decoded.withColumns({"_provider": provider, "_model": model, "_upstream": upstream, "_hash": hashed}).withColumn("_label", ids.credential_label(c("_provider"), credential, c("_upstream")))
     zero = F.lit(0).cast("long")
     clamp = lambda x: F.greatest(F.coalesce(x, zero), zero)
     cache_read = F.when(c("cache_read_tokens") == 0, c("cached_tokens")).otherwise(c("cache_read_tokens"))
     total = F.when(c("total_tokens") == 0, c("input_tokens") + c("output_tokens")).otherwise(c("total_tokens"))
     values = {
-        "id": c("id"), "timestamp_ms": F.coalesce(c("requested_at_ms"), now), "provider": c("_provider"), "executor_type": clean_dimension(c("executor_type")), "model": c("_model"),
-        "alias": clean_dimension(c("alias")), "endpoint": sanitize_endpoint(c("endpoint")), "api_key_mask": ids.anonymous_label("key", c("_hash")), "api_key_hash": c("_hash"),
+        "id": c("id"), "timestamp_ms": F.coalesce(c("requested_at_ms"), now), "provider": c("_provider"), "executor_type": c("_executor_type"), "model": c("_model"),
+        "alias": c("_alias"), "endpoint": c("_endpoint"), "api_key_mask": c("_mask"), "api_key_hash": c("_hash"),
         "auth_id": F.lit(""), "auth_index": F.lit(""), "auth_type": F.lit(""), "upstream_key": c("_upstream"), "upstream_label": c("_label"), "source": c("_label"),
-        "reasoning_effort": clean_dimension(c("reasoning_effort")), "service_tier": clean_dimension(c("service_tier")), "generate": c("generate") | c("stream"),
+        "reasoning_effort": c("_reasoning_effort"), "service_tier": c("_service_tier"), "generate": c("generate") | c("stream"),
         "latency_ms": clamp(F.expr(f"latency_ns div {MS_NS}")), "ttft_ms": clamp(F.expr(f"ttft_ns div {MS_NS}")), "failed": c("failed"), "status_code": c("status_code"), "failure": sanitize_failure(c("failure")),
         **{t: clamp(c(t)) for t in TOKENS}, "cache_read_tokens": clamp(cache_read), "total_tokens": clamp(total),
     }
@@ -57,21 +91,32 @@ def compact_events(decoded: DataFrame, salt: str = ids.SALT, ingest_ms: Column |
 def normalize_events(events: DataFrame, salt: str = ids.SALT) -> DataFrame:
     """The second pass, on storage, backup and restore: hashes what isn't hashed, recomputes labels, drops raw identities."""
     c = F.col
-    provider = clean_dimension(c("provider"), "unknown")
-    hashed = F.when((text(c("api_key_hash")) == "") | ids.is_hex_digest(c("api_key_hash")), text(c("api_key_hash"))).otherwise(ids.short_hmac(c("api_key_hash"), salt))
-    made = ids.short_hmac(_material(provider, c("auth_id"), c("auth_index"), c("auth_type")), salt)
-    upstream = F.when(text(c("upstream_key")) == "", made).when(ids.is_hex_digest(c("upstream_key")), c("upstream_key")).otherwise(ids.short_hmac(c("upstream_key"), salt))
-    named = ids.credential_from_source(provider, c("source"))
-    credential = F.when(named == "", ids.preferred_credential(c("auth_type"), c("auth_id"), c("auth_index"))).otherwise(named)
-    first = events.withColumns({"_provider": provider, "_hash": hashed, "_upstream": upstream, "_credential": credential})
-    first = first.withColumn("_label", ids.stored_label(c("_provider"), c("_credential"), c("upstream_label"), c("_upstream")))
+    first = event_identities(events, salt)
     values = {
-        "provider": c("_provider"), "model": clean_dimension(c("model"), "unknown"), "endpoint": sanitize_endpoint(c("endpoint")), "api_key_hash": c("_hash"), "api_key_mask": ids.anonymous_label("key", c("_hash")),
+        "provider": c("_provider"), "model": clean_dimension(c("model"), "unknown"), "endpoint": sanitize_endpoint(c("endpoint")), "api_key_hash": c("_hash"), "api_key_mask": c("_mask"),
         "upstream_key": c("_upstream"), "upstream_label": c("_label"), "source": c("_label"), "auth_id": F.lit(""), "auth_index": F.lit(""), "auth_type": F.lit(""), "failure": sanitize_failure(c("failure")),
     }
     return first.select(*[values.get(n, c(n)).cast(kind).alias(n) for n, kind in EVENT.items()])
 
 
+def stored_events(decoded: DataFrame, salt: str = ids.SALT, ingest_ms: Column | None = None) -> DataFrame:
+    """normalize_events of compact_events, with identities and texts worked out once for each distinct one (by_distinct); for tables, not for streams."""
+    c = F.col
+
+    def identities(rows: DataFrame) -> DataFrame:
+        own = ("_provider", "_hash", "_upstream", "_label", "_mask")
+        made = record_identities(rows, salt)
+        as_event = {"provider": c("_provider"), "auth_id": F.lit(""), "auth_index": F.lit(""), "auth_type": F.lit(""), "source": c("_label"), "api_key_hash": c("_hash"), "upstream_key": c("_upstream"), "upstream_label": c("_label")}
+        again = event_identities(made.select(*[c(k).alias(f"_raw_{k}") for k in RECORD_IDENTITY], *[v.alias(k) for k, v in as_event.items()]), salt)
+        return again.select(*[c(f"_raw_{k}").alias(k) for k in RECORD_IDENTITY], *own)
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return rows.withColumns(record_texts()).withColumns({"_model": clean_dimension(c("_model"), "unknown"), "_endpoint": sanitize_endpoint(c("_endpoint"))})
+
+    first = by_distinct(decoded, {RECORD_IDENTITY: identities, RECORD_TEXTS: texts})
+    return _compacted(first, ingest_ms).withColumn("failure", sanitize_failure(c("failure")))
+
+
 def redact_events(events: DataFrame) -> DataFrame:
     """Events for display: public key labels, masked upstream labels, no keys of accounts."""
     c = F.col

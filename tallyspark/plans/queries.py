@@ -14,7 +14,7 @@ from ..operators import pricing, rollups, trends
 from ..operators.ranges import time_range
 from ..sources import usage_view
 from ..sources.schema import EVENT_COLUMNS, RATES, TOKENS
-from ..sources.usage_store import compacted, usage_store
+from ..sources.usage_store import usage_records, usage_store
 from ..sources.usage_view import NOW_MS
 from .oracles import CUSTOM
 
@@ -183,8 +183,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_event_time": event_times,
         "parse_duration": durations,
         "malformed_records": malformed,
-        "compact_events": compacted,
-        "normalize_events": lambda s, d: ev.normalize_events(compacted(s, d)),
+        "compact_events": lambda s, d: ev.compact_events(usage_records(s, d)),
+        "normalize_events": lambda s, d: ev.stored_events(usage_records(s, d)),
         "redacted_events": on_events(ev.redact_events),
         "uncached_input": on_events(ev.uncached_input),
         "minute_rollup": on_events(rollups.minute_rollup),

@@ -1,8 +1,9 @@
 """The stored tables: events, partial minute rollups and prices as Parquet, with a manifest.
 
 A batch writes its events and its rollups to folders of its own and then a commit file;
-readers see committed batches only, so both land together or not at all, and writing a batch
-again replaces it. Folders are cut by event_date (UTC), on which ranges prune; how many files
+readers see committed batches only, so both land together or not at all. Writing a batch again is
+a further attempt with folders of its own (`<batch>@<attempt>`), and its commit takes the place of the one before: at
+no time is a committed batch hidden, and a writer lost on the way leaves what was there. Folders are cut by event_date (UTC), on which ranges prune; how many files
 a day gets follows its size. Rollups of batches are partial and are added up when read. The
 `state-<n>.json` of the largest number names the generation of the tables and the version of
 the prices: restore and compaction write a new generation beside the old one and then a new
@@ -10,9 +11,9 @@ state, so what is read is the old or the new tables, also if the writer is lost
 apply, and folders of days wholly before it are deleted.
 
   root/state-<n>.json
-  root/gen-<g>/commits/<batch>.json
-  root/gen-<g>/events/batch=<batch>/event_date=<date>/*.parquet
-  root/gen-<g>/rollups/batch=<batch>/event_date=<date>/*.parquet
+  root/gen-<g>/commits/<batch>[@<attempt>].json
+  root/gen-<g>/events/batch=<batch>[@<attempt>]/event_date=<date>/*.parquet
+  root/gen-<g>/rollups/batch=<batch>[@<attempt>]/event_date=<date>/*.parquet
   root/prices/v<v>/*.parquet
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,36 +49,70 @@ class UsageTables:
         g = self.state()["generation"] if generation is None else generation
         return f"gen-{g}/{name}"
 
+    def _attempts(self, generation: int | None = None) -> dict[str, int]:
+        """The last committed attempt of each batch."""
+        found: dict[str, int] = {}
+        for name in self.files.names(self._folder("commits", generation)):
+            if name.endswith(".json"):
+                batch, _, attempt = name.removesuffix(".json").partition("@")
+                found[batch] = max(found.get(batch, 0), int(attempt or 0))
+        return found
+
     def batches(self) -> list[str]:
-        return [n.removesuffix(".json") for n in self.files.names(self._folder("commits")) if n.endswith(".json")]
+        return sorted(self._attempts())
+
+    @staticmethod
+    def _named(batch: str, attempt: int) -> str:
+        return f"{batch}@{attempt}" if attempt else batch
+
+    def commits(self) -> DataFrame:
+        """What the last attempt of each batch wrote at commit: one scan of small files, however many there are."""
+        schema = "batch string, attempt int, events long, rollups long, dropped long, written_ms long, took_ms long"
+        folder = self._folder("commits")
+        if not self._attempts():
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).option("pathGlobFilter", "*.json").json(f"{self.root}/{folder}")
+        last = F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), F.coalesce("attempt", F.lit(0))).alias("_last")
+        return rows.groupBy("batch").agg(last).select("batch", "_last.*")
 
     # writing
 
     def write_batch(self, events: DataFrame, batch: str, generation: int | None = None, normalized: bool = False, facts: dict | None = None) -> dict:
-        """Writes events and their rollups as one batch and commits them; the same batch again replaces itself."""
+        """Writes events and their rollups as one batch and commits them; the same batch again replaces itself. What is written is counted as it is written."""
+        if "@" in batch:
+            raise ValueError("a batch's name has no @")
         began = time.time()
         g = self.state()["generation"] if generation is None else generation
-        commit = self._folder(f"commits/{batch}.json", g)
-        self.files.delete(commit)
+        before = self._attempts(g).get(batch)
+        attempt = 0 if before is None else before + 1
+        name = self._named(batch, attempt)
         rows = events if normalized else ev.normalize_events(events, self.salt)
         day = F.to_date(F.timestamp_millis("timestamp_ms"))
-        to = f"{self.root}/{self._folder(f'events/batch={batch}', g)}"
+        to = f"{self.root}/{self._folder(f'events/batch={name}', g)}"
+        seen, summed = Observation(), Observation()
         # rebalancing splits a large day and merges small ones by their sizes
-        rows.select(*EVENT_COLUMNS, day.alias("event_date")).hint("rebalance", "event_date").sortWithinPartitions("event_date", "timestamp_ms").write.mode("overwrite").partitionBy("event_date").parquet(to)
+        dealt = rows.select(*EVENT_COLUMNS, day.alias("event_date")).hint("rebalance", "event_date").sortWithinPartitions("event_date", "timestamp_ms")
+        dealt.observe(seen, F.count(F.lit(1)).alias("events")).write.mode("overwrite").partitionBy("event_date").parquet(to)
         # the rollups are of what was written, so both tables agree even if the source would not give the same rows again
         written = self.spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])).parquet(to)
-        own = rollups.minute_rollup(written)
         day = F.date_from_unix_date(F.expr("cast(minute div 1440 as int)"))
-        own.withColumn("event_date", day).hint("rebalance", "event_date").sortWithinPartitions("event_date", "minute", "upstream_key").write.mode("overwrite").partitionBy("event_date").parquet(f"{self.root}/{self._folder(f'rollups/batch={batch}', g)}")
-        done = {"batch": batch, "events": written.count(), "written_ms": int(time.time() * 1000), "took_ms": int((time.time() - began) * 1000)} | (facts or {})
-        self.files.write(commit, done)
+        own = rollups.minute_rollup(written).withColumn("event_date", day).hint("rebalance", "event_date").sortWithinPartitions("event_date", "minute", "upstream_key")
+        own.observe(summed, F.count(F.lit(1)).alias("rollups")).write.mode("overwrite").partitionBy("event_date").parquet(f"{self.root}/{self._folder(f'rollups/batch={name}', g)}")
+        done = {"batch": batch, "attempt": attempt, "events": seen.get["events"], "rollups": summed.get["rollups"], "written_ms": int(time.time() * 1000), "took_ms": int((time.time() - began) * 1000)} | (facts or {})
+        self.files.write(self._folder(f"commits/{name}.json", g), done)
+        # the attempt before may still be read; those before it go
+        if before is not None:
+            self.files.delete(self._folder(f"commits/{self._named(batch, before)}.json", g))
+            for old in range(before):
+                for table in ("events", "rollups"):
+                    self.files.delete(self._folder(f"{table}/batch={self._named(batch, old)}", g))
         return done
 
     # reading
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         base = f"{self.root}/{self._folder(name)}"
-        paths = [f"{base}/batch={b}" for b in self.batches()]
+        paths = [f"{base}/batch={self._named(b, n)}" for b, n in sorted(self._attempts().items())]
         full = T.StructType([*schema.fields, *_PARTITIONS])
         if not paths:
             return self.spark.createDataFrame([], full)
@@ -166,8 +201,10 @@ class UsageTables:
         return {"events": found["events"], "prices": self.prices().count()}
 
     def status(self) -> dict:
-        commits = [self.files.read(self._folder(f"commits/{b}.json")) for b in self.batches()]
-        return {"events": self.events().count(), "rollups": self.rollups().count(), "last_write_ms": max((c["written_ms"] for c in commits), default=None)}
+        """Events and rollups within the horizon, and the last write. Without a horizon commits tell the events; keys of several batches are counted once."""
+        told = self.commits().agg(F.sum("events"), F.max("written_ms"), F.count_if(F.col("events").isNull())).first()
+        events = self.events().count() if self.state()["horizon_ms"] is not None or told[2] else told[0] or 0
+        return {"events": events, "rollups": self.rollups().count(), "last_write_ms": told[1]}
 
     # backup files
 

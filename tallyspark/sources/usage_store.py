@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.events import compact_events, normalize_events
+from ..operators.events import stored_events
 from .scratch import shared_dir
 from .tables import UsageTables
 from .usage_view import raw_usage
@@ -19,17 +19,18 @@ from .usage_view import raw_usage
 _stores: dict[tuple[str, str], UsageTables] = {}
 
 
-def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def usage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records as decode_records gives them."""
     raw = raw_usage(spark, sf_dir)
     ns = {f"{n}_ns": F.col(f"{n}_ms") * 1_000_000 for n in ("latency", "ttft")}
     blank = {n: F.lit("") for n in ("executor_type", "alias", "reasoning_effort", "service_tier")}
-    return compact_events(raw.withColumns({**ns, **blank, "requested_at_ms": F.col("timestamp_ms"), "stream": F.lit(False)}))
+    return raw.withColumns({**ns, **blank, "requested_at_ms": F.col("timestamp_ms"), "stream": F.lit(False)})
 
 
 def usage_store(spark: SparkSession, sf_dir: str) -> UsageTables:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stores:
         tables = UsageTables(spark, f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}")
-        tables.write_batch(normalize_events(compacted(spark, sf_dir)), "first", normalized=True)
+        tables.write_batch(stored_events(usage_records(spark, sf_dir)), "first", normalized=True)
         _stores[key] = tables
     return _stores[key]

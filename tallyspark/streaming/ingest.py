@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.listener import QueryIdleEvent, QueryProgressEvent, QueryStartedEvent, QueryTerminatedEvent
 
 from ..operators import events as ev
 from ..sources.tables import UsageTables
@@ -48,12 +50,16 @@ def write_micro_batch(tables: UsageTables, dead_letters: str, clock: Callable[[]
             raise
 
     def _write(raw: DataFrame, batch_id: int, now: int) -> None:
-        decoded = batch_events(raw, batch_id, tables.salt, now)
-        bad = decoded.where("malformed").select(F.col("_raw").alias("raw"))
-        bad.write.mode("overwrite").text(f"{dead_letters}/batch={batch_id}")
-        dropped = raw.sparkSession.read.text(f"{dead_letters}/batch={batch_id}").count()
-        events = ev.compact_events(decoded.where("not malformed"), tables.salt, F.lit(now))
-        tables.write_batch(events, f"{batch_id:012d}", facts={"dropped": dropped})
+        # decoded once, and read from there by both writes and by the tables of distinct identities
+        decoded = batch_events(raw, batch_id, tables.salt, now).persist(StorageLevel.DISK_ONLY)
+        try:
+            dropped = Observation()
+            bad = decoded.where("malformed").select(F.col("_raw").alias("raw")).observe(dropped, F.count(F.lit(1)).alias("dropped"))
+            bad.write.mode("overwrite").text(f"{dead_letters}/batch={batch_id}")
+            events = ev.stored_events(decoded.where("not malformed"), tables.salt, F.lit(now))
+            tables.write_batch(events, f"{batch_id:012d}", normalized=True, facts=dropped.get)
+        finally:
+            decoded.unpersist()
 
     return write
 
@@ -67,9 +73,35 @@ def ingest_stream(records: DataFrame, tables: UsageTables, checkpoint: str, dead
 
 def ingest_metrics(tables: UsageTables) -> dict:
     """Counters over the committed batches: accepted, dropped, batches, and size and time of the last one; and writes that failed."""
-    commits = [tables.files.read(tables._folder(f"commits/{b}.json")) for b in tables.batches()]
-    last = max(commits, key=lambda c: c["written_ms"], default={})
-    return {
-        "accepted": sum(c["events"] for c in commits), "dropped": sum(c.get("dropped", 0) for c in commits), "batches": len(commits), "write_failures": len(tables.files.names("failures")),
-        "last_batch_events": last.get("events", 0), "last_batch_ms": last.get("took_ms", 0),
-    }
+    last = F.max_by(F.struct(F.col("events").alias("last_batch_events"), F.col("took_ms").alias("last_batch_ms")), "written_ms").alias("_last")
+    sums = tables.commits().agg(F.sum("events").alias("accepted"), F.sum("dropped").alias("dropped"), F.count(F.lit(1)).alias("batches"), last).select("accepted", "dropped", "batches", "_last.*").first()
+    return {k: v or 0 for k, v in sums.asDict().items()} | {"write_failures": len(tables.files.names("failures"))}
+
+
+class IngestListener(StreamingQueryListener):
+    """Follows the streams of a session: for each query (by id) its batches, records read, time of the last batch and, when it failed, the error.
+
+    spark.streams.addListener(IngestListener()); what was written is in ingest_metrics, whatever driver wrote it.
+    """
+
+    def __init__(self) -> None:
+        self.queries: dict[str, dict] = {}
+
+    def _of(self, query_id: object) -> dict:
+        return self.queries.setdefault(str(query_id), {"batches": 0, "records": 0, "last_batch_ms": 0, "running": True, "error": None})
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:  # noqa: N802
+        self._of(event.id)["running"] = True
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:  # noqa: N802
+        own, progress = self._of(event.progress.id), event.progress
+        if progress.numInputRows:
+            own["batches"] += 1
+            own["records"] += progress.numInputRows
+            own["last_batch_ms"] = progress.batchDuration
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:  # noqa: N802
+        self._of(event.id).update(running=False, error=event.exception)

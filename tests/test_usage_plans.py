@@ -3,14 +3,16 @@
 import csv
 import io
 import json
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tallyspark.operators import dimensions as dims
 from tallyspark.operators import events as ev
-from tallyspark.operators import pricing, ranges, ranking, rollups
+from tallyspark.operators import identities, pricing, ranges, ranking, rollups
 from tallyspark.sources import usage_view
 from tallyspark.sources.files import Files
 from tallyspark.sources.tables import UsageTables, write_csv
@@ -170,3 +172,71 @@ def test_ranks_are_dealt_out(spark, days):
         for own in groups.values():
             assert [(r.rank_no, r.id) for r in sorted(own, key=lambda r: r.rank_no)] == [(i + 1, r.id) for i, r in enumerate(sorted(own, key=lambda r: (-r.size, r.id)))]
     assert ranking.ranked(rows.limit(0), [F.col("id")], "rank_no").count() == 0
+
+
+def test_a_batch_is_decoded_once(spark, tmp_path):
+    t = UsageTables(spark, str(tmp_path / "t"))
+    decoded = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            decoded.add(1)
+            yield r
+
+    lines = [(json.dumps({"provider": "p", "model": "m", "api_key": f"k{i % 3}", "requested_at_ms": NOW - i}),) for i in range(40)] + [("{",)] * 3
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(lines, 3).mapPartitions(seen), "raw string")
+    write = ingest.write_micro_batch(t, str(tmp_path / "dead"))
+    write(rows, 5)
+    assert decoded.value == 43
+    facts = ingest.ingest_metrics(t)
+    assert (facts["accepted"], facts["dropped"], facts["batches"], facts["last_batch_events"]) == (40, 3, 1, 40)
+    write(rows, 5)
+    again = ingest.ingest_metrics(t)
+    assert {k: again[k] for k in ("accepted", "dropped", "batches")} == {k: facts[k] for k in ("accepted", "dropped", "batches")}
+    assert t.status()["events"] == 40 and spark.read.text(str(tmp_path / "dead/batch=5")).count() == 3
+
+
+def test_a_replay_never_hides_its_batch(spark, tmp_path):
+    t = UsageTables(spark, str(tmp_path / "t"))
+    t.write_batch(frame(spark, [event(NOW), event(NOW - 1)]), "7")
+    reader = t.events()
+    with pytest.raises(Exception):  # noqa: B017
+        t.write_batch(frame(spark, [event(NOW)]).withColumn("model", F.raise_error(F.lit("lost")).cast("string")), "7")
+    assert t.events().count() == 2 and t.batches() == ["7"]
+    for n in (3, 4):
+        t.write_batch(frame(spark, [event(NOW - i) for i in range(n)]), "7")
+        assert t.events().count() == n and t.rollups().agg(F.sum("requests")).first()[0] == n
+        if n == 3:
+            assert reader.count() == 2  # who was reading still reads what was there
+    assert t.status()["events"] == 4 and len(t.files.names("gen-0/commits")) == 1 and len(t.files.names("gen-0/events")) == 2
+
+
+def test_identities_are_worked_out_once(spark):
+    rows = [(json.dumps({"provider": f" p{i % 2}", "model": "m ", "api_key": f"k{i % 3}", "auth_id": f"a{i % 2}", "source": ["", "ab", None][i % 3], "endpoint": "/v1/%2520a", "failure": {"body": " x\n"}, "requested_at_ms": NOW - i}),) for i in range(300)]
+    decoded = ev.decode_usage(spark.createDataFrame(rows, "raw string").withColumn("id", F.monotonically_increasing_id())).drop("malformed")
+    want = ev.normalize_events(ev.compact_events(decoded))
+    for most in (200_000, 0):  # sent to all, and joined by shuffling
+        seen = Observation()
+        got = identities.by_distinct(decoded, {ev.RECORD_IDENTITY: lambda t: ev.record_identities(t.observe(seen, F.count(F.lit(1)).alias("n")), "s")}, most)  # noqa: B023
+        assert got.count() == 300 and seen.get["n"] == 6
+        assert ("BroadcastHashJoin" in plan(got)) == (most > 0)
+    assert sorted(map(str, ev.stored_events(decoded).collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_listener_counts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("\n".join(json.dumps({"provider": "p", "model": "m", "requested_at_ms": NOW - i}) for i in range(9)))
+    listener = ingest.IngestListener()
+    spark.streams.addListener(listener)
+    try:
+        t = UsageTables(spark, str(tmp_path / "t"))
+        q = ingest.ingest_stream(ingest.record_stream(spark, str(tmp_path / "in")), t, str(tmp_path / "ck"), str(tmp_path / "dead"))
+        q.awaitTermination(120)
+        for _ in range(100):
+            if not listener.queries.get(str(q.id), {"running": True})["running"]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    own = listener.queries[str(q.id)]
+    assert (own["batches"], own["records"], own["running"], own["error"]) == (1, 9, False, None)
