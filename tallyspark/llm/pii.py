@@ -284,9 +284,12 @@ def spans_of(c: Chunk, i: int, text: str | None, hit: np.ndarray) -> list[tuple[
     if len(hit):
         place = byte_places(c, i)
         a, b = np.searchsorted(place, c.start[hit]), np.searchsorted(place, c.stop[hit])
-        for s, e in zip(a.tolist(), b.tolist(), strict=True):
-            if not any(s < y and e > x for x, _, y in spans):
-                spans.append((s, 4, e))
+        # base spans before a term's end, and how far they reach; terms never touch each other
+        spans.sort()
+        starts, reach = np.array([x for x, _, _ in spans], dtype=np.int64), np.maximum.accumulate(np.array([y for _, _, y in spans] or [0], dtype=np.int64))
+        before = np.searchsorted(starts, b)
+        free = (before == 0) | (reach[np.maximum(before - 1, 0)] <= a)
+        spans += [(s, 4, e) for s, e in zip(a[free].tolist(), b[free].tolist(), strict=True)]
     return sorted(spans)
 
 
