@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, join_split, ship
 
 LEAST_BYTES = 1000
 VERSION = "WARC/1.1\r\n"
@@ -68,7 +68,10 @@ def captures(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     narrow = scratch.keep(narrow, "digests")
     large = narrow.where(F.col("payload_bytes") >= least_bytes)
     groups = large.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = large.join(groups, "payload_digest").where(F.col("page_id") != F.col("response_id"))
+    # a payload that very many pages share is split over tasks
+    key = F.xxhash64("payload_digest").alias("_key")
+    shared = groups.select(key, F.col("payload_digest").alias("_of"), "response_id")
+    again = join_split(large.select("*", key), shared, "_key").where((F.col("payload_digest") == F.col("_of")) & (F.col("page_id") != F.col("response_id")))
     again = again.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("response_id")).distinct()
     digest = F.sha1("payload")
     joined = rows.withColumn("payload_digest", digest).join(again, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
@@ -104,20 +107,24 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
 def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records of parts that were split at the version line, in the order of the files."""
     held: list[bytes] = []
-    file = ""
+    room, needed, file = 0, 0, ""  # bytes held and of the whole record
     out: list[tuple] = []
     size = 0
-
-    def complete() -> tuple | None:
-        body = held[0] if len(held) == 1 else VERSION.encode().join(held)
-        head, found, rest = body.partition(b"\r\n\r\n")
-        if not found:
-            return None
+    version = VERSION.encode()
+
+    def length_of(part: bytes) -> int:
+        """Bytes of the record that begins with this part; no header has a version line."""
+        head, found, _ = part.partition(b"\r\n\r\n")
+        told = re.search(rb"^Content-Length: (\d+)\r?$", head, re.M)
+        if not found or not told:
+            raise ValueError(f"{file} has a record without a header")
+        return len(head) + 4 + int(told[1])
+
+    def complete() -> tuple:
+        body = held[0] if len(held) == 1 else version.join(held)
+        head, _, rest = body.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n") if ": " in x)
-        length = int(fields["Content-Length"])
-        if len(rest) < length:
-            return None
-        block = rest[:length]
+        block = rest[: int(fields["Content-Length"])]
         http, payload = None, block
         if fields["WARC-Type"] in ("response", "revisit", "request"):
             head, _, payload = block.partition(b"\r\n\r\n")
@@ -141,11 +148,13 @@ def parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 file = name
             if not held and not part:
                 continue
+            if not held:
+                room, needed = 0, length_of(part)
+            room += len(part) + (len(version) if held else 0)
             held.append(part)
-            done = complete()
-            if done is not None:
-                out.append(done)
-                size += len(done[-1]) + 500
+            if room >= needed:
+                out.append(complete())
+                size += len(out[-1][-1]) + 500
                 held = []
             if size > 4 << 20:
                 yield batch()
