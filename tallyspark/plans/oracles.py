@@ -8,6 +8,8 @@ from ..sources.schema import MEASURES, RATES, TOKENS
 from ..sources.usage_view import MODELS, NOW_MS, PRICES
 
 SUMS = ("requests", "successes", "failures", *TOKENS, "latency_sum_ms")
+#: "now" of range_30d: half a day before that of the others.
+RANGE_30D_NOW = NOW_MS - 43_200_000
 CUSTOM = ("2024-01-10T00:00:00Z", "2024-01-10T08:00:00Z")
 
 
@@ -258,15 +260,15 @@ SELECT p_partkey, model, CASE WHEN model = '' THEN 'name' WHEN n > 1 THEN 'dupli
         "sanitize_failure": f"SELECT c_custkey, regexp_replace(left(w, 512), '[\\x00-\\x1F\\x7F]', '', 'g') AS cleaned FROM (SELECT c_custkey, {ws} AS w FROM (SELECT c_custkey, {dirty(40)} AS v FROM customer))",
         "sanitize_endpoint": "SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages",
         "masked_upstream_label": on_raw(f"SELECT id, CASE id % 3 WHEN 0 THEN provider ELSE CASE id % 3 WHEN 1 THEN 'team' ELSE provider END END || ' / ' || CASE id % 3 WHEN 2 THEN 'abc***yz' ELSE {mask('auth_id')} END AS label FROM u"),
-        "filter_events": on_events(f"SELECT * FROM e WHERE {event_range(r30)} AND model = 'gemini' AND provider = 'prov-1' AND failed AND upstream_key = {UPSTREAM}"),
+        "filter_events": on_events(f"SELECT * FROM e WHERE {event_range(r30)} AND model = 'tarn' AND provider = 'prov-1' AND failed AND upstream_key = {UPSTREAM}"),
         "search_events": on_events(
-            "SELECT id FROM e WHERE lower(model) LIKE '%gpt_5%' OR lower(provider) LIKE '%gpt_5%' OR lower(endpoint) LIKE '%gpt_5%' OR lower(upstream_label) LIKE '%gpt_5%' OR lower(source) LIKE '%gpt_5%' OR lower(failure) LIKE '%gpt_5%'"
+            "SELECT id FROM e WHERE lower(model) LIKE '%orion_4%' OR lower(provider) LIKE '%orion_4%' OR lower(endpoint) LIKE '%orion_4%' OR lower(upstream_label) LIKE '%orion_4%' OR lower(source) LIKE '%orion_4%' OR lower(failure) LIKE '%orion_4%'"
         ),
         "events_page": on_events(f"SELECT {REDACTED} FROM (SELECT * FROM e WHERE {event_range(r7)} AND provider = 'prov-1' {page})"),
         "events_page_meta": on_events(f"SELECT count(*) AS total, (count(*) + 24) // 25 AS pages, 3::BIGINT AS page, 25::BIGINT AS page_size FROM e WHERE {event_range(r7)} AND provider = 'prov-1'"),
         "upstream_recent_events": on_events(f"SELECT {REDACTED} FROM (SELECT * FROM e WHERE {event_range(r30)} AND upstream_key = {UPSTREAM} ORDER BY timestamp_ms DESC, id DESC LIMIT 20)"),
         "summary_kpi": kpi(r30),
-        **{f"range_{x.label}": kpi(x) for x in (r24, r7, r30, rall, custom)},
+        **{f"range_{x.label}": kpi(x) for x in (r24, r7, time_range(RANGE_30D_NOW, "30d"), rall, custom)},
         "trend": query("SELECT * FROM t", *trend_ctes(r30)),
         "trend_dense": query("SELECT '24h' AS range_label, * FROM d", *dense_ctes(r24)),
         "trend_dense_custom": query("SELECT * FROM d", *dense_ctes(custom)),

@@ -16,7 +16,7 @@ from ..sources import usage_view
 from ..sources.schema import EVENT_COLUMNS, RATES, TOKENS
 from ..sources.usage_store import usage_records, usage_store
 from ..sources.usage_view import NOW_MS
-from .oracles import CUSTOM
+from .oracles import CUSTOM, RANGE_30D_NOW
 
 R24, R7, R30, ALL = (time_range(NOW_MS, x) for x in ("24h", "7d", "30d", "all"))
 R_CUSTOM = time_range(NOW_MS, "custom", *CUSTOM)
@@ -159,7 +159,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     on_dated = lambda f: lambda s, d: f(dated(s, d))
     on_events = lambda f: lambda s, d: f(stored(s, d))
     page = ev.EventFilter(from_ms=R7.from_ms, to_ms=R7.to_ms, provider="prov-1", page=3, page_size=25)
-    narrow = ev.EventFilter(from_ms=R30.from_ms, to_ms=R30.to_ms, model="gemini", provider="prov-1", status="failure", upstream_key=upstream_key())
+    narrow = ev.EventFilter(from_ms=R30.from_ms, to_ms=R30.to_ms, model="tarn", provider="prov-1", status="failure", upstream_key=upstream_key())
     recent = ev.EventFilter(from_ms=R30.from_ms, to_ms=R30.to_ms, upstream_key=upstream_key(), page_size=20)
     # labels of API keys and upstreams are those of the latest batch; the others are keys themselves
     merged = lambda key: on_rollups if key in ("api_key_hash", "upstream_key") else on_sums
@@ -172,7 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "summary_kpi": on_sums(lambda r, p: trends.summary_kpi(r, p, R30)),
         "range_24h": on_sums(lambda r, p: trends.summary_kpi(r, p, R24)),
         "range_7d": on_sums(lambda r, p: trends.summary_kpi(r, p, R7)),
-        "range_30d": on_sums(lambda r, p: trends.summary_kpi(r, p, R30)),
+        "range_30d": on_sums(lambda r, p: trends.summary_kpi(r, p, time_range(RANGE_30D_NOW, "30d"))),
         "range_all": on_sums(lambda r, p: trends.summary_kpi(r, p, ALL)),
         "range_custom": on_sums(lambda r, p: trends.summary_kpi(r, p, R_CUSTOM)),
         "decode_usage": lambda s, d: decoded(s, d).select(
@@ -209,7 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sanitize_endpoint": lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", text.sanitize_endpoint(F.col("url")).alias("path")),
         "masked_upstream_label": legacy_labels,
         "filter_events": on_dated(lambda e: ev.filter_events(e, narrow).select(*EVENT_COLUMNS)),
-        "search_events": on_events(lambda e: ev.filter_events(e, ev.EventFilter(search="GPT_5")).select("id")),
+        "search_events": on_events(lambda e: ev.filter_events(e, ev.EventFilter(search="ORION_4")).select("id")),
         "events_page": on_dated(lambda e: ev.events_page(e, page)),
         "events_page_meta": on_dated(lambda e: ev.events_page_meta(e, page)),
         "upstream_recent_events": on_dated(lambda e: ev.events_page(e, recent)),

@@ -9,13 +9,13 @@ from ..functions.decode import PASCAL
 from .inputs import spread
 from .schema import PRICE_SCHEMA
 
-MODELS = ("gpt-5.6", "claude-sonnet", "vendor/gpt-5.6", "gemini", "free-model", "misc-model")
+MODELS = ("orion-4", "lyric-2", "hub/orion-4", "tarn", "open-1", "other-1")
 #: 2024-01-31T00:00:00Z, the "now" of all queries on the test tables.
 NOW_MS = 1_706_659_200_000
 PRICES = (
-    ("gpt-5.6", 2.0, 8.0, 0.2, 2.5, 10.0, NOW_MS),
-    ("claude-sonnet", 3.0, 15.0, 0.0, 0.0, 0.0, NOW_MS),
-    ("free-model", 0.0, 0.0, 0.0, 0.0, 0.0, NOW_MS),
+    ("orion-4", 1.8, 7.2, 0.45, 2.25, 9.0, NOW_MS),
+    ("lyric-2", 2.6, 13.0, 0.0, 0.0, 0.0, NOW_MS),
+    ("open-1", 0.0, 0.0, 0.0, 0.0, 0.0, NOW_MS),
     ("*", 1.0, 2.0, 0.1, 0.0, 0.0, NOW_MS),
 )
 

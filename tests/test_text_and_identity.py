@@ -102,9 +102,9 @@ def test_labels(spark):
 
 
 def test_like_is_case_blind_for_ascii_only(spark):
-    values = ["GPT-5", "gpt_5", "É", "é", "a\\b", "ab"]
+    values = ["ORION-4", "orion_4", "É", "é", "a\\b", "ab"]
     hits = lambda p: [v for v, h in zip(values, apply(spark, values, lambda c: text.like_ascii(c, p)), strict=True) if h]
-    assert hits("gpt_5") == ["GPT-5", "gpt_5"] and hits("É") == ["É"] and hits("a\\b") == ["a\\b"] and hits("%B") == ["a\\b", "ab"]
+    assert hits("orion_4") == ["ORION-4", "orion_4"] and hits("É") == ["É"] and hits("a\\b") == ["a\\b"] and hits("%B") == ["a\\b", "ab"]
 
 
 def test_times(spark):
