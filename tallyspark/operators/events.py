@@ -208,9 +208,13 @@ def events_page_meta(events: DataFrame, f: EventFilter) -> DataFrame:
 
 def export_events(events: DataFrame, f: EventFilter, most: int = 50_000) -> DataFrame:
     """The newest `most` events that fit, redacted, with the columns of the CSV export."""
+    return exported(newest(filter_events(events, f)).limit(most))
+
+
+def exported(events: DataFrame) -> DataFrame:
+    """Events as the CSV export shows them, redacted."""
     c = F.col
-    rows = redact_events(newest(filter_events(events, f)).limit(most))
-    return rows.select(
+    return redact_events(events).select(
         F.date_format(F.timestamp_millis("timestamp_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), "provider", "model", "endpoint", c("api_key_mask").alias("api_key"), c("upstream_label").alias("upstream"), "source",
         F.when(c("failed"), "failure").otherwise("success").alias("status"), "status_code", "latency_ms", "ttft_ms", "input_tokens", "output_tokens", "cache_read_tokens",
         c("cache_creation_tokens").alias("cache_write_tokens"), "reasoning_tokens", "total_tokens", "failure",

@@ -9,6 +9,9 @@ from ..sources.schema import MEASURES, ROLLUP_KEYS, ROLLUP_LABELS, TOKENS
 from .ranges import DAY, MINUTE, TimeRange
 
 
+#: Minutes of the coarser rollups kept beside the minutes, coarsest first.
+TIERS = (1440, 60)
+
 #: The order of events that decides whose labels stay; the label itself comes last.
 LAST = ("timestamp_ms", "id")
 
@@ -49,6 +52,42 @@ def rollups_in(rollups: DataFrame, rng: TimeRange, **equal: str) -> DataFrame:
     return out
 
 
+def coarser_rollups(partials: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+    """Minute rollups added up by the hour and the day: `tier` (in minutes), its first minute, keys and measures, no labels."""
+    spread = partials.withColumn("tier", F.explode(F.array(*[F.lit(n) for n in tiers]))).withColumn("minute", F.expr("minute div tier * tier"))
+    return spread.groupBy("tier", "event_date", *ROLLUP_KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+
+
+def tier_spans(first: int, last: int, step: int | None = None, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int]]:
+    """Spans (tier, first and last minute) that make up first..last without overlap, of the coarsest tiers that fit.
+
+    Tiers that cross the bounds of buckets of `step` minutes are not used; None: there are no buckets.
+    """
+    usable = [n for n in tiers if step is None or step % n == 0]
+
+    def cover(lo: int, end: int, left: list[int]) -> list[tuple[int, int, int]]:
+        if lo >= end:
+            return []
+        if not left:
+            return [(1, lo, end - 1)]
+        n = left[0]
+        a, b = -(-lo // n) * n, end // n * n
+        if a >= b:
+            return cover(lo, end, left[1:])
+        return [*cover(lo, a, left[1:]), (n, a, b - 1), *cover(b, end, left[1:])]
+
+    return cover(first, last + 1, usable)
+
+
+def in_spans(rows: DataFrame, spans: list[tuple[int, int]]) -> DataFrame:
+    """Rows whose minute is in one of some spans (both ends inclusive); the spans' days prune folders."""
+    fits = F.lit(False)
+    for a, b in spans:
+        days = [F.date_from_unix_date(F.lit(m // 1440).cast("int")) for m in (a, b)]
+        fits = fits | (F.col("event_date").between(*days) & F.col("minute").between(a, b))
+    return rows.where(fits)
+
+
 def bucket_model(rollups: DataFrame, rng: TimeRange, interval: int | None = None) -> DataFrame:
     """Sums by bucket of `interval` minutes (its first minute, aligned to the epoch) and model."""
     n = interval or rng.interval

@@ -265,6 +265,8 @@ SELECT p_partkey, model, CASE WHEN model = '' THEN 'name' WHEN n > 1 THEN 'dupli
             "SELECT id FROM e WHERE lower(model) LIKE '%orion_4%' OR lower(provider) LIKE '%orion_4%' OR lower(endpoint) LIKE '%orion_4%' OR lower(upstream_label) LIKE '%orion_4%' OR lower(source) LIKE '%orion_4%' OR lower(failure) LIKE '%orion_4%'"
         ),
         "events_page": on_events(f"SELECT {REDACTED} FROM (SELECT * FROM e WHERE {event_range(r7)} AND provider = 'prov-1' {page})"),
+        "events_page_newest": on_events(f"SELECT {REDACTED} FROM (SELECT * FROM e ORDER BY timestamp_ms DESC, id DESC LIMIT 25)"),
+        "events_page_deep": on_events(f"SELECT {REDACTED} FROM (SELECT * FROM e WHERE failed ORDER BY timestamp_ms DESC, id DESC LIMIT 25 OFFSET 725)"),
         "events_page_meta": on_events(f"SELECT count(*) AS total, (count(*) + 24) // 25 AS pages, 3::BIGINT AS page, 25::BIGINT AS page_size FROM e WHERE {event_range(r7)} AND provider = 'prov-1'"),
         "upstream_recent_events": on_events(f"SELECT {REDACTED} FROM (SELECT * FROM e WHERE {event_range(r30)} AND upstream_key = {UPSTREAM} ORDER BY timestamp_ms DESC, id DESC LIMIT 20)"),
         "summary_kpi": kpi(r30),

@@ -11,7 +11,7 @@ from ..functions import decode, identity, text
 from ..operators import dimensions as dims
 from ..operators import events as ev
 from ..operators import pricing, rollups, trends
-from ..operators.ranges import time_range
+from ..operators.ranges import health_range, time_range
 from ..sources import usage_view
 from ..sources.schema import EVENT_COLUMNS, RATES, TOKENS
 from ..sources.usage_store import usage_records, usage_store
@@ -19,6 +19,8 @@ from ..sources.usage_view import NOW_MS
 from .oracles import CUSTOM, RANGE_30D_NOW
 
 R24, R7, R30, ALL = (time_range(NOW_MS, x) for x in ("24h", "7d", "30d", "all"))
+R30_EARLIER = time_range(RANGE_30D_NOW, "30d")
+R_HEALTH = health_range(NOW_MS)
 R_CUSTOM = time_range(NOW_MS, "custom", *CUSTOM)
 
 
@@ -156,25 +158,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     prices = usage_view.prices
     on_rollups = lambda f: lambda s, d: f(rolled(s, d), prices(s))
     on_sums = lambda f: lambda s, d: f(added(s, d), prices(s))
+    # what adds up a range, from the tiers that fit buckets of its interval, or any tier if it is added up as a whole
+    in_buckets = lambda rng, f: lambda s, d: f(usage_store(s, d).sums(rng, rng.interval), prices(s))
+    as_whole = lambda rng, f: lambda s, d: f(usage_store(s, d).sums(rng), prices(s))
+    paged = lambda f: lambda s, d: usage_store(s, d).page(f)
     on_dated = lambda f: lambda s, d: f(dated(s, d))
     on_events = lambda f: lambda s, d: f(stored(s, d))
     page = ev.EventFilter(from_ms=R7.from_ms, to_ms=R7.to_ms, provider="prov-1", page=3, page_size=25)
     narrow = ev.EventFilter(from_ms=R30.from_ms, to_ms=R30.to_ms, model="tarn", provider="prov-1", status="failure", upstream_key=upstream_key())
     recent = ev.EventFilter(from_ms=R30.from_ms, to_ms=R30.to_ms, upstream_key=upstream_key(), page_size=20)
     # labels of API keys and upstreams are those of the latest batch; the others are keys themselves
-    merged = lambda key: on_rollups if key in ("api_key_hash", "upstream_key") else on_sums
+    merged = lambda key: on_rollups if key in ("api_key_hash", "upstream_key") else lambda f: as_whole(R30, f)
     dimension = lambda key, **equal: merged(key)(lambda r, p: dims.present(dims.dimension(r, p, R30, key, **equal)))
     kinds = lambda kind: on_rollups(lambda r, p: dims.interfaces(r, p, R30).where(F.col("kind") == kind))
     of = lambda f, g: lambda s, d: f(g(s, d))
     token_names = {"input_tokens": "input", "output_tokens": "output", "cache_read_tokens": "cache_read", "cache_creation_tokens": "cache_write", "reasoning_tokens": "reasoning"}
-    tokens = on_sums(lambda r, p: dims.analysis_tokens(dims.dimension(r, p, R30, "model")))
+    tokens = as_whole(R30, lambda r, p: dims.analysis_tokens(dims.dimension(r, p, R30, "model")))
     return {
-        "summary_kpi": on_sums(lambda r, p: trends.summary_kpi(r, p, R30)),
-        "range_24h": on_sums(lambda r, p: trends.summary_kpi(r, p, R24)),
-        "range_7d": on_sums(lambda r, p: trends.summary_kpi(r, p, R7)),
-        "range_30d": on_sums(lambda r, p: trends.summary_kpi(r, p, time_range(RANGE_30D_NOW, "30d"))),
-        "range_all": on_sums(lambda r, p: trends.summary_kpi(r, p, ALL)),
-        "range_custom": on_sums(lambda r, p: trends.summary_kpi(r, p, R_CUSTOM)),
+        "summary_kpi": in_buckets(R30, lambda r, p: trends.summary_kpi(r, p, R30)),
+        "range_24h": in_buckets(R24, lambda r, p: trends.summary_kpi(r, p, R24)),
+        "range_7d": in_buckets(R7, lambda r, p: trends.summary_kpi(r, p, R7)),
+        "range_30d": in_buckets(R30_EARLIER, lambda r, p: trends.summary_kpi(r, p, R30_EARLIER)),
+        "range_all": in_buckets(ALL, lambda r, p: trends.summary_kpi(r, p, ALL)),
+        "range_custom": in_buckets(R_CUSTOM, lambda r, p: trends.summary_kpi(r, p, R_CUSTOM)),
         "decode_usage": lambda s, d: decoded(s, d).select(
             "id", "provider", "model", "endpoint", "source", "api_key", "auth_id", "auth_index", "auth_type", (F.col("generate") | F.col("stream")).alias("streamed"), "failed", "requested_at_ms", "latency_ns", "ttft_ns"
         ),
@@ -189,13 +195,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "uncached_input": on_events(ev.uncached_input),
         "minute_rollup": on_events(rollups.minute_rollup),
         "merge_rollups": split_rollups,
-        "bucket_model_aggregate": on_sums(lambda r, p: rollups.bucket_model(r, R30)),
+        "bucket_model_aggregate": in_buckets(R30, lambda r, p: rollups.bucket_model(r, R30)),
         "price_list": of(pricing.price_list, part_prices),
         "validate_prices": lambda s, d: pricing.validate_prices(submitted_prices(s, d)).select("p_partkey", "model", "reason"),
         "price_resolution": on_sums(lambda r, p: pricing.resolve_prices(model_sums(r), p).select("model", "price_match", *RATES)),
         "cost_by_model": on_sums(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("cost_usd", 9).alias("cost_usd"))),
         "standard_cost": on_sums(lambda r, p: pricing.with_costs(model_sums(r), p).select("model", F.round("standard_cost_usd", 9).alias("standard_cost_usd"))),
-        "export_events": on_dated(lambda e: ev.export_events(e, ev.EventFilter(status="failure"))),
+        "export_events": lambda s, d: usage_store(s, d).export(ev.EventFilter(status="failure")),
         "backup_events": on_events(lambda e: ev.backup_events(e)),
         "validate_backup": of(ev.validate_backup, backup_candidates),
         "retention_events": on_events(lambda e: rollups.surviving_events(e, 10, NOW_MS).select("id")),
@@ -210,24 +216,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "masked_upstream_label": legacy_labels,
         "filter_events": on_dated(lambda e: ev.filter_events(e, narrow).select(*EVENT_COLUMNS)),
         "search_events": on_events(lambda e: ev.filter_events(e, ev.EventFilter(search="ORION_4")).select("id")),
-        "events_page": on_dated(lambda e: ev.events_page(e, page)),
+        "events_page": paged(page),
+        "events_page_newest": paged(ev.EventFilter()),
+        "events_page_deep": paged(ev.EventFilter(status="failure", page=30)),
         "events_page_meta": on_dated(lambda e: ev.events_page_meta(e, page)),
-        "upstream_recent_events": on_dated(lambda e: ev.events_page(e, recent)),
-        "trend": on_sums(lambda r, p: trends.trend(r, p, R30)),
-        "trend_dense": on_sums(lambda r, p: trends.trend_dense(r, p, R24).select(F.lit("24h").alias("range_label"), "*")),
-        "trend_dense_custom": on_sums(lambda r, p: trends.trend_dense(r, p, R_CUSTOM)),
-        "trend_nonempty": on_sums(lambda r, p: trends.trend_nonempty(trends.trend_dense(r, p, R_CUSTOM))),
-        "sparkline": on_sums(lambda r, p: trends.sparkline(trends.trend_dense(r, p, R24), "requests")),
-        "health_grid": on_sums(lambda r, p: trends.health_grid(r, NOW_MS)),
-        "health_levels": on_sums(lambda r, p: trends.health_levels(trends.health_grid(r, NOW_MS))),
-        "health_totals": on_sums(lambda r, p: trends.health_totals(trends.health_grid(r, NOW_MS))),
+        "upstream_recent_events": paged(recent),
+        "trend": in_buckets(R30, lambda r, p: trends.trend(r, p, R30)),
+        "trend_dense": in_buckets(R24, lambda r, p: trends.trend_dense(r, p, R24).select(F.lit("24h").alias("range_label"), "*")),
+        "trend_dense_custom": in_buckets(R_CUSTOM, lambda r, p: trends.trend_dense(r, p, R_CUSTOM)),
+        "trend_nonempty": in_buckets(R_CUSTOM, lambda r, p: trends.trend_nonempty(trends.trend_dense(r, p, R_CUSTOM))),
+        "sparkline": in_buckets(R24, lambda r, p: trends.sparkline(trends.trend_dense(r, p, R24), "requests")),
+        "health_grid": in_buckets(R_HEALTH, lambda r, p: trends.health_grid(r, NOW_MS)),
+        "health_levels": in_buckets(R_HEALTH, lambda r, p: trends.health_levels(trends.health_grid(r, NOW_MS))),
+        "health_totals": in_buckets(R_HEALTH, lambda r, p: trends.health_totals(trends.health_grid(r, NOW_MS))),
         "dimension_level1": on_rollups(lambda r, p: dims.level_one(r, R30, "upstream_key")),
         "dim_model": dimension("model"),
         "dim_provider": dimension("provider"),
         "dim_api_key": dimension("api_key_hash"),
         "dim_source": dimension("source"),
         "dim_upstream": dimension("upstream_key"),
-        "dim_source_merged": on_sums(lambda r, p: dims.present(dims.merged_sources(r, p, R30))),
+        "dim_source_merged": as_whole(R30, lambda r, p: dims.present(dims.merged_sources(r, p, R30))),
         "analysis_distributions": on_rollups(lambda r, p: dims.distributions(r, p, R30)),
         "analysis_tokens": tokens,
         "token_composition": lambda s, d: trends.token_composition(tokens(s, d).select(*[F.col(k).alias(v) for k, v in token_names.items()])),
@@ -239,5 +247,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "upstream_share": of(dims.shares, kinds("upstreams")),
         "upstream_status": of(dims.status_bands, kinds("upstreams")),
         "upstream_detail_models": dimension("model", upstream_key=upstream_key()),
-        "upstream_summary": on_sums(lambda r, p: dims.upstream_summary(r, p, R30, upstream_key())),
+        "upstream_summary": as_whole(R30, lambda r, p: dims.upstream_summary(r, p, R30, upstream_key())),
     }

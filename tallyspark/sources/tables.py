@@ -14,12 +14,17 @@ apply, and folders of days wholly before it are deleted.
   root/gen-<g>/commits/<batch>[@<attempt>].json
   root/gen-<g>/events/batch=<batch>[@<attempt>]/event_date=<date>/*.parquet
   root/gen-<g>/rollups/batch=<batch>[@<attempt>]/event_date=<date>/*.parquet
+  root/gen-<g>/tiers/batch=<batch>[@<attempt>]/event_date=<date>/tier=<minutes>/*.parquet
   root/prices/v<v>/*.parquet
+
+Tiers are the batch's rollups added up by the hour and the day, without labels; `sums` answers a range
+from the coarsest that fits. Commits tell the events of each day, by which pages find their days.
 """
 
 from __future__ import annotations
 
 import time
+from datetime import date
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +32,13 @@ from pyspark.sql import types as T
 
 from ..functions import identity
 from ..operators import events as ev
-from ..operators import pricing, rollups
-from ..operators.ranges import DAY, MINUTE
+from ..operators import paging, pricing, rollups
+from ..operators.ranges import DAY, MINUTE, TimeRange
 from .files import Files
 from .schema import BACKUP_SCHEMA, EVENT_COLUMNS, EVENT_SCHEMA, MEASURES, PRICE_SCHEMA, ROLLUP_KEYS, ROLLUP_LABELS
 
 ROLLUP_SCHEMA = T.StructType([T.StructField(k, T.LongType() if k == "minute" else T.StringType()) for k in (*ROLLUP_KEYS, *ROLLUP_LABELS)] + [T.StructField(m, T.LongType()) for m in MEASURES])
+TIER_SCHEMA = T.StructType([*[f for f in ROLLUP_SCHEMA.fields if f.name not in ROLLUP_LABELS], T.StructField("tier", T.IntegerType())])
 MOST_RESTORED = 1_000_000
 _PARTITIONS = [T.StructField("batch", T.StringType()), T.StructField("event_date", T.DateType())]
 
@@ -67,7 +73,7 @@ class UsageTables:
 
     def commits(self) -> DataFrame:
         """What the last attempt of each batch wrote at commit: one scan of small files, however many there are."""
-        schema = "batch string, attempt int, events long, rollups long, dropped long, written_ms long, took_ms long"
+        schema = "batch string, attempt int, events long, rollups long, dropped long, written_ms long, took_ms long, days map<string, long>"
         folder = self._folder("commits")
         if not self._attempts():
             return self.spark.createDataFrame([], schema)
@@ -98,21 +104,28 @@ class UsageTables:
         day = F.date_from_unix_date(F.expr("cast(minute div 1440 as int)"))
         own = rollups.minute_rollup(written).withColumn("event_date", day).hint("rebalance", "event_date").sortWithinPartitions("event_date", "minute", "upstream_key")
         own.observe(summed, F.count(F.lit(1)).alias("rollups")).write.mode("overwrite").partitionBy("event_date").parquet(f"{self.root}/{self._folder(f'rollups/batch={name}', g)}")
-        done = {"batch": batch, "attempt": attempt, "events": seen.get["events"], "rollups": summed.get["rollups"], "written_ms": int(time.time() * 1000), "took_ms": int((time.time() - began) * 1000)} | (facts or {})
+        minutes = self.spark.read.schema(T.StructType([*ROLLUP_SCHEMA.fields, _PARTITIONS[1]])).parquet(f"{self.root}/{self._folder(f'rollups/batch={name}', g)}")
+        tiers = rollups.coarser_rollups(minutes).hint("rebalance", "event_date", "tier").sortWithinPartitions("event_date", "tier", "minute")
+        tiers.write.mode("overwrite").partitionBy("event_date", "tier").parquet(f"{self.root}/{self._folder(f'tiers/batch={name}', g)}")
+        # rows of whole files by folder: footers are read, no columns
+        days = {str(r.event_date or ""): r.n for r in written.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).collect()}
+        done = {"batch": batch, "attempt": attempt, "events": seen.get["events"], "rollups": summed.get["rollups"], "written_ms": int(time.time() * 1000), "took_ms": int((time.time() - began) * 1000), "days": days} | (facts or {})
         self.files.write(self._folder(f"commits/{name}.json", g), done)
         # the attempt before may still be read; those before it go
         if before is not None:
             self.files.delete(self._folder(f"commits/{self._named(batch, before)}.json", g))
             for old in range(before):
-                for table in ("events", "rollups"):
+                for table in ("events", "rollups", "tiers"):
                     self.files.delete(self._folder(f"{table}/batch={self._named(batch, old)}", g))
         return done
 
     # reading
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+    def _read(self, name: str, schema: T.StructType, only: set[str] | None = None) -> DataFrame:
+        """A table's committed batches, or those of some folders."""
         base = f"{self.root}/{self._folder(name)}"
-        paths = [f"{base}/batch={self._named(b, n)}" for b, n in sorted(self._attempts().items())]
+        found = [f"batch={self._named(b, n)}" for b, n in sorted(self._attempts().items())]
+        paths = [f"{base}/{x}" for x in found if only is None or x in only]
         full = T.StructType([*schema.fields, *_PARTITIONS])
         if not paths:
             return self.spark.createDataFrame([], full)
@@ -142,6 +155,52 @@ class UsageTables:
         """Rollups added up over batches, with the labels of the latest."""
         return rollups.merge_rollups(self.partial_rollups(), order="batch")
 
+    def sums(self, rng: TimeRange, step: int | None = None) -> DataFrame:
+        """Rollup rows without labels that add up to those of a range: days, hours and, at its ends, minutes. `step`: the minutes of
+        the buckets they will be added up by, if any. Batches written before there were tiers are read by minutes."""
+        first, last = rng.minutes
+        horizon = self.state()["horizon_ms"]
+        first = first if horizon is None else max(first, horizon // MINUTE)
+        columns = [*ROLLUP_KEYS, *MEASURES, "event_date"]
+        tiered = set(self.files.names(self._folder("tiers")))
+        old = {f"batch={self._named(b, n)}" for b, n in self._attempts().items()} - tiered
+        by_tier: dict[int, list[tuple[int, int]]] = {}
+        for tier, a, b in rollups.tier_spans(first, last, step):
+            by_tier.setdefault(tier, []).append((a, b))
+        parts = []
+        for tier, spans in sorted(by_tier.items()):
+            if tier == 1:
+                rows = self._read("rollups", ROLLUP_SCHEMA, tiered)
+            else:
+                rows = self._read("tiers", TIER_SCHEMA, tiered).where(F.col("tier") == tier)
+            parts.append(rollups.in_spans(rows, spans).select(*columns))
+        if old or not parts:
+            parts.append(rollups.in_spans(self._read("rollups", ROLLUP_SCHEMA, old), [(first, last)]).select(*columns))
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def day_counts(self) -> dict[date | None, int]:
+        """Events of each day as stored, from the commits; a horizon only hides whole days here, so its own day may count more than are left."""
+        commits = self.commits()
+        if commits.where("days is null").isEmpty():
+            rows = commits.select(F.explode("days").alias("day", "n")).groupBy(F.to_date(F.nullif("day", F.lit(""))).alias("day")).agg(F.sum("n").alias("n"))
+        else:
+            rows = self.events().groupBy(F.col("event_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+        horizon = self.state()["horizon_ms"]
+        if horizon is not None:
+            rows = rows.where(F.col("day") >= F.date_from_unix_date(F.lit(horizon // DAY).cast("int")))
+        return {r.day: r.n for r in rows.collect()}
+
+    def page(self, f: ev.EventFilter) -> DataFrame:
+        """A page of events, read from the days it lies in."""
+        return paging.events_page(self.events(), f, self.day_counts(), self.state()["horizon_ms"])
+
+    def export(self, f: ev.EventFilter, most: int = 50_000) -> DataFrame:
+        """The newest events that fit, as exported, read from the days they are in."""
+        return paging.export_events(self.events(), f, self.day_counts(), most, self.state()["horizon_ms"])
+
     # prices
 
     def prices(self) -> DataFrame:
@@ -169,7 +228,7 @@ class UsageTables:
         state = self.state()
         self.files.advance("state", state | {"horizon_ms": max(horizon, state["horizon_ms"] or horizon)})
         limit = time.strftime("%Y-%m-%d", time.gmtime(horizon / 1000))
-        for name in ("events", "rollups"):
+        for name in ("events", "rollups", "tiers"):
             for batch in self.files.names(self._folder(name)):
                 for day in self.files.names(self._folder(f"{name}/{batch}")):
                     if day.startswith("event_date=") and day.removeprefix("event_date=") < limit:
