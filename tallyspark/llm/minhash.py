@@ -57,6 +57,8 @@ ROWS = 4
 BLOCK = 256
 BLOCK_BYTES = 2 << 20
 FIRST_BLOCK = 64
+#: Bits of the map of rows whose texts are read again: 32 MB.
+MOST_BITS = 1 << 28
 HUBS = 8
 NEAR = 76
 
@@ -349,6 +351,24 @@ def pair_links(batches: Iterator[pa.RecordBatch], near: int) -> Iterator[pa.Reco
         yield batch.filter(pa.array((a == b).sum(axis=1) >= near)).select(["a", "b"])
 
 
+def picked(rows: DataFrame, wanted: DataFrame, keys: list[str], most_bits: int = MOST_BITS) -> DataFrame:
+    """Rows whose keys are in `wanted`, and few others, told before any shuffle by a bit map of hashed keys.
+
+    The map has 16 to 32 bits for each wanted row, and `most_bits` at most, in pieces of 4 KB, so what is sent to all is
+    bounded; a full map lets more rows through and loses none.
+    """
+    bits = 1 << 15
+    while bits < min(most_bits, 16 * wanted.count()):
+        bits *= 2
+    piece, bit, held = (free_name(rows, x) for x in ("piece", "bit", "held"))
+    spot = F.pmod(F.xxhash64(*keys), F.lit(bits)).cast("long")
+    marks = lambda df: df.withColumns({piece: F.shiftright(spot, 15), bit: spot.bitwiseAND(F.lit(32767))})
+    table = marks(wanted).groupBy(piece).agg(F.bitmap_construct_agg(bit).alias(held))
+    found = marks(rows).join(F.broadcast(table), piece)
+    byte = F.conv(F.hex(F.substring(held, F.expr(f"cast(`{bit}` div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1).select(*map(quoted, rows.columns))
+
+
 def true_links(base: DataFrame, nodes: DataFrame, clusters: DataFrame, scratch: Scratch, least: float, block: int, block_bytes: int) -> DataFrame:
     """a, b: links that join all members of a cluster whose texts are linked, directly or through others."""
     members = clusters.join(nodes.select("node", "doc_id", "text_hash", "bytes").hint("merge"), "node").withColumnRenamed("component", "key")
@@ -361,7 +381,8 @@ def true_links(base: DataFrame, nodes: DataFrame, clusters: DataFrame, scratch:
     dealt = join_split(members, counts, "key").select("key", "node", "bytes", "doc_id", "text_hash", own.alias("own"))
     # one row of each node gives the text; equal rows are one before they are dealt out
     place = lambda df: df.withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    rows = place(base).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    # only texts of members are shuffled: those of other rows fail a map of the members' hashes
+    rows = picked(place(base), place(members), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
     texts = scratch.keep(rows.join(place(dealt).hint("merge"), ["doc_id", "text_hash"]).select("key", "node", "bytes", "own", "text"), "texts")
     scratch.drop("members")
 

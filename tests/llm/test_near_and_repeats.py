@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_pipeline import keep_one_of_near
 from tallyspark.llm import common, graphs, minhash, substrings
@@ -211,3 +212,15 @@ def test_every_window_has_an_anchor_that_its_copies_share():
                 found.add((int(anchors[k, 0]) - at, int(anchors[k, 1])))
                 assert at + 8 <= anchors[k, 0] < at + width - 8 and anchors[k, 1] != 0
             assert len(found) == 1
+
+
+def test_only_texts_of_members_are_shuffled(spark):
+    rows = spark.range(20000).select("id", F.xxhash64("id").alias("hash"), F.concat(F.lit("t"), "id").alias("text"))
+    wanted = rows.where("id % 50 = 3").select("id", "hash")
+    got = [r.id for r in minhash.picked(rows, wanted, ["id", "hash"]).collect()]
+    assert {i for i in range(20000) if i % 50 == 3} <= set(got) and len(got) == len(set(got)) < 2400
+    # a map that is too small loses nothing
+    assert {i for i in range(20000) if i % 50 == 3} <= {r.id for r in minhash.picked(rows, wanted, ["id", "hash"], 1 << 10).collect()}
+    assert minhash.picked(rows, wanted.limit(0), ["id", "hash"]).count() == 0
+    clash = rows.withColumnsRenamed({"hash": "piece", "text": "bit"})
+    assert minhash.picked(clash, clash.where("id < 5"), ["id", "piece"]).where("id < 5").select("id", "piece", "bit").count() == 5
