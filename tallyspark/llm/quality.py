@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DIGITS, LETTERS, TOKENS, Chunk, chunks, mix, ship
 
@@ -43,7 +44,7 @@ WINDOW = 2
 SAMPLE = 20_000
 HIDDEN = 48
 THRESHOLD = 0.3
-#: Texts are cut smaller here, as each distinct token of a document has a vector for a while.
+#: Texts are cut smaller here, as each distinct token of a document has a vector for a while, and each token a dozen neighbours.
 _CHUNK = 1 << 18
 
 
@@ -82,15 +83,18 @@ def context_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     seen = np.zeros(SLOTS, dtype=np.int64)
 
     def add(to: np.ndarray, of: np.ndarray) -> None:
-        # slot pairs that occur often are added once with their number
-        pairs, n = np.unique(to * SLOTS + of, return_counts=True)
+        # slot pairs that occur often are added once with their number; SLOTS squared has 27 bits
+        to *= np.int32(SLOTS)
+        to += of
+        pairs, n = np.unique(to, return_counts=True)
+        pairs = pairs.astype(np.int64)
         a, b = pairs // SLOTS, pairs % SLOTS
         for k in range(NONZERO):
             table[:] += np.bincount(a * DIMENSIONS + place[b, k], weights=n * sign[b, k], minlength=len(table)).astype(np.int64)
 
     for batch in batches:
-        for c in chunks(batch.column("text"), kinds=TOKENS):
-            words, shapes = token_slots(c)
+        for c in chunks(batch.column("text"), 2 * _CHUNK, TOKENS):
+            words, shapes = (s.astype(np.int32) for s in token_slots(c))
             seen += np.bincount(words, minlength=SLOTS) + np.bincount(shapes, minlength=SLOTS)
             doc = np.repeat(np.arange(c.hi - c.lo), np.diff(c.first))
             to, of = [words, shapes], [shapes, words]
@@ -263,13 +267,16 @@ def drop_poor(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshol
     vectors = word_vectors(docs)
     net = train(docs, labels, vectors, sample)
     names = docs.columns
+    at = names.index("text")
+    # a text column is sent once, one of another type beside its text
+    extra = 0 if docs.schema[at].dataType == T.StringType() else 1
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [net.scores(pooled(c, vectors)) >= threshold for c in chunks(batch.column("text"), _CHUNK, TOKENS)]
+            good = [net.scores(pooled(c, vectors)) >= threshold for c in chunks(batch.column(0 if extra else at), _CHUNK, TOKENS)]
             kept = batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, dtype=bool)))
-            yield pa.RecordBatch.from_arrays(kept.columns[1:], names)
+            yield pa.RecordBatch.from_arrays(kept.columns[extra:], names)
 
     # columns go by place, as names may have dots
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.select(F.col(f"c{names.index('text')}").cast("string").alias("text"), "*").mapInArrow(keep, docs.schema)
+    return plain.select(*[F.col(f"c{at}").cast("string").alias("text")] * extra, "*").mapInArrow(keep, docs.schema)
