@@ -1,6 +1,9 @@
 """Plans of usage queries on tables far larger than the tests': how work is dealt out and what is shuffled."""
 
+from pyspark.sql import functions as F
+
 from tallyspark.plans import queries
+from tallyspark.sources import usage_view
 
 from test_usage_plans import optimized
 
@@ -15,3 +18,12 @@ def test_malformed_records_are_parsed_once_in_the_tasks_they_are_dealt_to(spark)
     assert filtered < text.index("from_json") < dealt  # a plan is printed from its last step
     ids = {r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect()}
     assert sorted(r.id for r in got.collect()) == sorted(i for i in ids if i % 11 in (0, 1, 2))
+
+
+def test_records_are_dealt_to_more_tasks_the_more_there_are(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    many = -(-1_000_000 // events.count())
+    events.join(spark.range(many).withColumnRenamed("id", "_copy")).withColumn("event_id", F.col("event_id") + 100_000 * F.col("_copy")).drop("_copy").write.parquet(f"{tmp_path}/events.parquet")
+    raw = usage_view.raw_usage(spark, str(tmp_path))
+    sizes = [r.n for r in raw.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 10 and max(sizes) < 150_000 and sum(sizes) >= 1_000_000
