@@ -25,11 +25,11 @@ def measures() -> dict[str, Column]:
     }
 
 
-def minute_rollup(events: DataFrame) -> DataFrame:
-    """Events by minute and five dimensions: 13 sums, and the labels of the latest event."""
+def minute_rollup(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Events by minute and five dimensions: 13 sums, and the labels of the latest event. `by`: columns that hang on those, by which the events are dealt out."""
     labels = [F.max_by(x, F.struct(*LAST, x)).alias(x) for x in ROLLUP_LABELS]
     one = measures()
-    return events.withColumn("minute", F.expr(f"timestamp_ms div {MINUTE}")).groupBy(*ROLLUP_KEYS).agg(*labels, *[one[m].alias(m) for m in MEASURES])
+    return events.withColumn("minute", F.expr(f"timestamp_ms div {MINUTE}")).groupBy(*by, *ROLLUP_KEYS).agg(*labels, *[one[m].alias(m) for m in MEASURES])
 
 
 def merge_rollups(partials: DataFrame, order: str = "batch_id") -> DataFrame:
@@ -52,10 +52,10 @@ def rollups_in(rollups: DataFrame, rng: TimeRange, **equal: str) -> DataFrame:
     return out
 
 
-def coarser_rollups(partials: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def coarser_rollups(partials: DataFrame, tiers: tuple[int, ...] = TIERS, by: tuple[str, ...] = ("event_date",)) -> DataFrame:
     """Minute rollups added up by the hour and the day: `tier` (in minutes), its first minute, keys and measures, no labels."""
     spread = partials.withColumn("tier", F.explode(F.array(*[F.lit(n) for n in tiers]))).withColumn("minute", F.expr("minute div tier * tier"))
-    return spread.groupBy("tier", "event_date", *ROLLUP_KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+    return spread.groupBy(*by, "tier", *ROLLUP_KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 
 def tier_spans(first: int, last: int, step: int | None = None, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, int, int]]:

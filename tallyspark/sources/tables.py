@@ -24,6 +24,7 @@ from the coarsest that fits. Commits tell the events of each day, by which pages
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -40,6 +41,8 @@ from .schema import BACKUP_SCHEMA, EVENT_COLUMNS, EVENT_SCHEMA, MEASURES, PRICE_
 ROLLUP_SCHEMA = T.StructType([T.StructField(k, T.LongType() if k == "minute" else T.StringType()) for k in (*ROLLUP_KEYS, *ROLLUP_LABELS)] + [T.StructField(m, T.LongType()) for m in MEASURES])
 TIER_SCHEMA = T.StructType([*[f for f in ROLLUP_SCHEMA.fields if f.name not in ROLLUP_LABELS], T.StructField("tier", T.IntegerType())])
 MOST_RESTORED = 1_000_000
+#: Events of a day that are added up in one task.
+SLICE = 100_000
 _PARTITIONS = [T.StructField("batch", T.StringType()), T.StructField("event_date", T.DateType())]
 
 
@@ -101,14 +104,15 @@ class UsageTables:
         dealt.observe(seen, F.count(F.lit(1)).alias("events")).write.mode("overwrite").partitionBy("event_date").parquet(to)
         # the rollups are of what was written, so both tables agree even if the source would not give the same rows again
         written = self.spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])).parquet(to)
-        day = F.date_from_unix_date(F.expr("cast(minute div 1440 as int)"))
-        own = rollups.minute_rollup(written).withColumn("event_date", day).hint("rebalance", "event_date").sortWithinPartitions("event_date", "minute", "upstream_key")
-        own.observe(summed, F.count(F.lit(1)).alias("rollups")).write.mode("overwrite").partitionBy("event_date").parquet(f"{self.root}/{self._folder(f'rollups/batch={name}', g)}")
-        minutes = self.spark.read.schema(T.StructType([*ROLLUP_SCHEMA.fields, _PARTITIONS[1]])).parquet(f"{self.root}/{self._folder(f'rollups/batch={name}', g)}")
-        tiers = rollups.coarser_rollups(minutes).hint("rebalance", "event_date", "tier").sortWithinPartitions("event_date", "tier", "minute")
-        tiers.write.mode("overwrite").partitionBy("event_date", "tier").parquet(f"{self.root}/{self._folder(f'tiers/batch={name}', g)}")
         # rows of whole files by folder: footers are read, no columns
         days = {str(r.event_date or ""): r.n for r in written.groupBy("event_date").agg(F.count(F.lit(1)).alias("n")).collect()}
+        to = f"{self.root}/{self._folder(f'rollups/batch={name}', g)}"
+        day = F.date_from_unix_date(F.expr(f"cast(timestamp_ms div {MINUTE} div 1440 as int)"))
+        own = self._by_day(written.withColumn("event_date", day), days, rollups.minute_rollup)
+        own.observe(summed, F.count(F.lit(1)).alias("rollups")).write.mode("overwrite").partitionBy("event_date").parquet(to)
+        minutes = self.spark.read.schema(T.StructType([*ROLLUP_SCHEMA.fields, _PARTITIONS[1]])).parquet(to)
+        tiers = self._by_day(minutes, days, rollups.coarser_rollups).sortWithinPartitions("event_date", "tier", "minute")
+        tiers.write.mode("overwrite").partitionBy("event_date", "tier").parquet(f"{self.root}/{self._folder(f'tiers/batch={name}', g)}")
         done = {"batch": batch, "attempt": attempt, "events": seen.get["events"], "rollups": summed.get["rollups"], "written_ms": int(time.time() * 1000), "took_ms": int((time.time() - began) * 1000), "days": days} | (facts or {})
         self.files.write(self._folder(f"commits/{name}.json", g), done)
         # the attempt before may still be read; those before it go
@@ -119,6 +123,17 @@ class UsageTables:
                     self.files.delete(self._folder(f"{table}/batch={self._named(batch, old)}", g))
         return done
 
+    def _by_day(self, rows: DataFrame, days: dict[str, int], added: Callable[..., DataFrame]) -> DataFrame:
+        """What `added` makes of rows with event_date and the rollups' keys, added up where the rows are dealt to once: by day and slice of the keys.
+
+        All minutes, hours and days of a slice are in one task, and what it adds up is in the order it is written in.
+        Slices and tasks follow the events of the largest day and of all days.
+        """
+        slices = 1 + max(days.values(), default=0) // SLICE
+        tasks = min(slices * max(len(days), 1), max(self.spark.sparkContext.defaultParallelism, 1 + sum(days.values()) // SLICE))
+        sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*[k for k in ROLLUP_KEYS if k != "minute"]), F.lit(slices)))
+        return added(sliced.repartition(tasks, "event_date", "_slice"), by=("event_date", "_slice")).drop("_slice")
+
     # reading
 
     def _read(self, name: str, schema: T.StructType, only: set[str] | None = None) -> DataFrame:
@@ -152,8 +167,11 @@ class UsageTables:
         return out
 
     def rollups(self) -> DataFrame:
-        """Rollups added up over batches, with the labels of the latest."""
-        return rollups.merge_rollups(self.partial_rollups(), order="batch")
+        """Rollups added up over batches, with the labels of the latest. A batch alone has one row for each key."""
+        parts = self.partial_rollups()
+        if len(self._attempts()) == 1:
+            return parts.select(*ROLLUP_KEYS, "event_date", *ROLLUP_LABELS, *MEASURES)
+        return rollups.merge_rollups(parts, order="batch")
 
     def sums(self, rng: TimeRange, step: int | None = None) -> DataFrame:
         """Rollup rows without labels that add up to those of a range: days, hours and, at its ends, minutes. `step`: the minutes of
