@@ -25,15 +25,25 @@ def level_one(rollups: DataFrame, rng: TimeRange, key: str, **equal: str) -> Dat
     """Sums by key, provider and model with the largest label."""
     if key not in DIMENSIONS or any(k not in (*DIMENSIONS, *DIMENSIONS.values()) for k in equal):
         raise ValueError(f"no statistics by {key}")
-    rows = rollups_in(rollups, rng, **equal).withColumns({"_key": F.col(key), "_label": F.col(DIMENSIONS[key])})
-    return rows.groupBy(F.col("_key").alias("key"), "provider", "model").agg(F.max("_label").alias("label"), *[F.sum(m).alias(m) for m in SUMS])
+    rows = _added(rollups_in(rollups, rng, **equal).select(F.col(key).alias("key"), "provider", "model", F.col(DIMENSIONS[key]).alias("label"), *SUMS), "key", "provider", "model", "label")
+    return _labelled(rows, "key", "provider", "model")
+
+
+def _added(rows: DataFrame, *by: str) -> DataFrame:
+    """rows added up by some columns: sums alone, which are added up where the rows are and need no sorting (a largest text would)."""
+    return rows.groupBy(*by).agg(*[F.sum(m).alias(m) for m in SUMS])
+
+
+def _labelled(added: DataFrame, *by: str) -> DataFrame:
+    """Sums by key and label as sums by key with the largest label."""
+    return added.groupBy(*by).agg(F.max("label").alias("label"), *[F.sum(m).alias(m) for m in SUMS])
 
 
 def level_one_by(rollups: DataFrame, rng: TimeRange, keys: dict[str, str]) -> DataFrame:
     """The same of several dimensions (kind: key) from one scan, with their kinds: each row is counted once for each before the shuffle."""
-    each = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(DIMENSIONS[key]).alias("_label")) for kind, key in keys.items()]))
-    rows = rollups_in(rollups, rng).select(each, "provider", "model", *SUMS)
-    return rows.groupBy("kind", "key", "provider", "model").agg(F.max("_label").alias("label"), *[F.sum(m).alias(m) for m in SUMS])
+    each = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), F.col(DIMENSIONS[key]).alias("label")) for kind, key in keys.items()]))
+    rows = _added(rollups_in(rollups, rng).select(each, "provider", "model", *SUMS), "kind", "key", "provider", "model", "label")
+    return _labelled(rows, "kind", "key", "provider", "model")
 
 
 def level_two(costed: DataFrame, by: list[str]) -> DataFrame:
